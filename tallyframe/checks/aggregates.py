@@ -317,6 +317,15 @@ CHECKS = {
             typed=TYPED,
         ),
     ),
+    "a29_hours_per_person": Check(
+        lambda s, d: workforce.hours_per_person(people(s, d)),
+        over(
+            "eod employee",
+            """SELECT employee_name, CAST(worker_type AS BIGINT) AS worker_type,
+              sum(minutes)::BIGINT / 60 AS total_hrs FROM typed GROUP BY ALL""",
+            typed=TYPED,
+        ),
+    ),
     "a30_heads_per_worker_type": Check(
         lambda s, d: workforce.heads_by_type(people(s, d), TYPE_NAMES),
         over(

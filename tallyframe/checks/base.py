@@ -35,9 +35,9 @@ def plain(df: DataFrame) -> DataFrame:
     for field in df.schema:
         value = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DateType):
-            value = F.date_format(value, "yyyy-MM-dd")
+            value = value.cast("string")
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-            value = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
+            value = F.substring(value.cast("string"), 1, 19)
         elif isinstance(field.dataType, (T.DecimalType, T.FloatType)):
             value = value.cast("double")
         elif isinstance(field.dataType, (T.ByteType, T.ShortType, T.IntegerType)):

@@ -9,6 +9,7 @@ from tallyframe import standins as data
 from tallyframe.checks.base import ACCOUNTS, EOD_END, EOD_START, HOME_PREFIX, TYPE_NAMES, Check
 from tallyframe.checks.views import over
 from tallyframe.operators.membership import HOME, INTERN, OTHER_GROUP, worker_type_name
+from tallyframe.operators.ranking import line_numbers
 from tallyframe.plans import revenue, workforce
 
 LINES = """
@@ -107,6 +108,28 @@ CHECKS = {
                 FROM invoice WHERE payment_mon IS NOT NULL GROUP BY ALL) GROUP BY ALL""",
         ),
     ),
+    "j6_wide_hours_of_interns": Check(
+        lambda s, d: workforce.only(
+            workforce.wide_hours_by_type(lines(s, d), ACCOUNTS, staff(s, d), HOME_PREFIX), INTERN
+        ),
+        over(
+            "eod employee",
+            """SELECT * EXCLUDE (worker_type), row_number() OVER (ORDER BY employee_name) AS line_no
+            FROM wide WHERE worker_type = 1""",
+            typed=TYPED,
+            wide=WIDE,
+        ),
+    ),
+    "j6_wide_hours_all": Check(
+        lambda s, d: line_numbers(workforce.wide_hours(lines(s, d), ACCOUNTS), ["employee_name"]),
+        over(
+            "eod employee",
+            """SELECT * EXCLUDE (worker_type), row_number() OVER (ORDER BY employee_name) AS line_no
+            FROM wide""",
+            typed=TYPED,
+            wide=WIDE,
+        ),
+    ),
     "j6_wide_hours_by_type": Check(
         lambda s, d: workforce.wide_hours_by_type(
             lines(s, d), ACCOUNTS, staff(s, d), HOME_PREFIX

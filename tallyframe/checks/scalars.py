@@ -59,7 +59,7 @@ CHECKS = {
         """strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS stamp,
           strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS by_format""",
         stamp=lambda: dates.to_timestamp(F.col(DAY).cast("string")),
-        by_format=lambda: dates.to_timestamp(F.date_format(DAY, "dd/MM/yyyy HH:mm"), "dd/MM/yyyy HH:mm"),
+        by_format=lambda: dates.to_timestamp(F.date_format(DAY, "dd/MM/yyyy"), "dd/MM/yyyy"),
     ),
     "f8_days_left_in_month": _on_orders(
         "CAST(day(last_day(o_orderdate)) - day(o_orderdate) AS BIGINT) AS days_left",

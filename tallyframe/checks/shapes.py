@@ -8,13 +8,14 @@ from tallyframe import standins as data
 from tallyframe.checks.aggregates import CELLS, TO_DATE
 from tallyframe.checks.base import ACCOUNTS, CATEGORIES, MONTH, Check
 from tallyframe.checks.joins import LINES, WIDE, lines
+from tallyframe.checks.projections import OPEN, SHORT_COLUMNS, SHORT_SQL
 from tallyframe.checks.views import over
 from tallyframe.functions.dates import month_key
 from tallyframe.operators import filters
 from tallyframe.operators.calendar import month_at, newest_months
 from tallyframe.operators.ranking import line_numbers, order_by_group_total, top_per_group
 from tallyframe.operators.totals import total_by
-from tallyframe.plans import cost, revenue, workforce
+from tallyframe.plans import cost, revenue, sponsorship, utilisation, workforce
 from tallyframe.sources.exports import union_exports
 
 COST = "CAST(sum(cost) AS DOUBLE) AS cost"
@@ -108,17 +109,18 @@ CHECKS = {
     ),
     "w2_top_resources_per_month": Check(
         lambda s, d: top_per_group(
-            total_by(data.sponsor(s, d), ["report_month", "service_resource"], "cost"),
+            sponsorship.total_per_month(data.sponsor(s, d), "service_resource"),
             ["report_month"],
-            "cost",
+            "total",
             "service_resource",
             6,
         ),
         over(
             "sponsor",
-            f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY report_month
-                  ORDER BY cost DESC, service_resource) AS position
-              FROM (SELECT report_month, service_resource, {COST} FROM sponsor
+            """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY report_month
+                  ORDER BY total DESC, service_resource) AS position
+              FROM (SELECT report_month, service_resource, CAST(sum(cost) AS DOUBLE) AS total
+                FROM sponsor
                 GROUP BY report_month, service_resource)) WHERE position <= 6""",
         ),
     ),
@@ -165,6 +167,18 @@ CHECKS = {
               employee, company, account FROM employee""",
         ),
     ),
+    "w4_numbered_bench_roster": Check(
+        lambda s, d: line_numbers(
+            workforce.bench_roster(data.employee(s, d), "Delivery"), ["employee"]
+        ),
+        over(
+            "employee",
+            """SELECT row_number() OVER (ORDER BY employee) AS line_no, employee, "rank", "level",
+              remarks, activities FROM employee
+            WHERE NOT resigned AND billed_project IS NULL AND account = 'Delivery'
+              AND include = 1""",
+        ),
+    ),
     "w5_share_of_hours": Check(
         lambda s, d: workforce.account_share(lines(s, d)),
         over(
@@ -195,7 +209,7 @@ CHECKS = {
     ),
     "w6_daily_cost_by_largest_category": Check(
         lambda s, d: order_by_group_total(
-            total_by(cost.by_day(data.usage(s, d)), ["category", "day"], "cost"),
+            total_by(data.usage(s, d), ["category", "day"], "cost"),
             "category",
             "cost",
             "day",
@@ -239,6 +253,17 @@ CHECKS = {
             FROM usage ORDER BY cost DESC""",
         ),
     ),
+    "o1_lost_hours_listing": Check(
+        lambda s, d: utilisation.details(
+            utilisation.lost(data.rates(s, d), "20000101", "20001231", False)
+        ),
+        over(
+            "rates",
+            f"""SELECT {SHORT_COLUMNS}, strftime(period, '%Y-%m-%d') AS month FROM short
+            WHERE shortfall > 0 AND {OPEN} ORDER BY project, employee""",
+            short=SHORT_SQL,
+        ),
+    ),
     "o2_largest_days": Check(
         lambda s, d: cost.daily_total(data.usage(s, d)).orderBy(F.desc("cost"), "day").limit(6),
         over("usage", "SELECT * FROM daily ORDER BY cost DESC, day LIMIT 6", daily=DAILY),

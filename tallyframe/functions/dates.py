@@ -50,9 +50,15 @@ def long_date(day: Column | str) -> Column:
 
 
 def to_timestamp(text: Column | str, fmt: str | None = None) -> Column:
-    """Text to timestamp without a zone; unreadable text becomes null."""
-    parsed = F.try_to_timestamp(col(text), F.lit(fmt)) if fmt else F.try_to_timestamp(col(text))
-    return parsed.cast("timestamp_ntz")
+    """Text to timestamp without a zone; unreadable text becomes null.
+
+    With a format the text is read as a one-field record, the only way to
+    parse by format without passing through the session time zone.
+    """
+    if fmt is None:
+        return col(text).try_cast("timestamp_ntz")
+    options = {"timestampNTZFormat": fmt, "sep": "\u0001"}
+    return F.from_csv(col(text), "stamp timestamp_ntz", options)["stamp"]
 
 
 def days_left_in_month(day: Column | str) -> Column:

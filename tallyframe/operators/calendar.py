@@ -36,46 +36,47 @@ def last_months(df: DataFrame, count: int, day: str = "usage_date") -> DataFrame
     return df.filter(on_or_after(day, kept.agg(F.min("month")).scalar()))
 
 
+def _zero(df: DataFrame, amount: str) -> Column:
+    """An aggregate that is 0.
+
+    It reads the amounts, so that this branch has the same input plan as the
+    real rows and Spark runs that plan, scan and shuffle, once for both.
+    """
+    return (F.sum(amount) * 0).cast(df.schema[amount].dataType).alias(amount)
+
+
 def fill_months(df: DataFrame, month: str, amount: str) -> DataFrame:
     """Add the months between the first and the last as rows with amount 0.
 
     `month` holds month starts, one row each. Zero rows are added and summed,
     which needs no join.
     """
-    spine = df.agg(
-        F.explode(F.sequence(F.min(month), F.max(month), F.expr("interval 1 month"))).alias(month)
-    )
-    zero = F.lit(0).cast(df.schema[amount].dataType).alias(amount)
-    return (
-        df.select(month, amount)
-        .unionByName(spine.select(month, zero))
-        .groupBy(month)
-        .agg(F.sum(amount).alias(amount))
+    span = df.agg(
+        F.sequence(F.min(month), F.max(month), F.expr("interval 1 month")).alias(month),
+        _zero(df, amount),
     )
+    spine = span.withColumn(month, F.explode(month))
+    both = df.select(month, amount).unionByName(spine)
+    return both.groupBy(month).agg(F.sum(amount).alias(amount))
 
 
 def dense_cells(df: DataFrame, dims: Sequence[str], day: str, amount: str) -> DataFrame:
     """Every combination of the values seen, missing cells as amount 0.
 
-    `df` holds one row per cell that occurs. Each day seen is expanded by the
-    distinct values of the other keys, one explode per key, and the zero rows
-    are summed with the real ones in one shuffle. The result is the product of
-    the key counts by definition, so bound the date span first.
+    `df` holds one row per cell that occurs. The values seen are gathered in
+    one row, which is expanded by one explode per key, first by day so that
+    the days spread over the tasks; the zero rows are then summed with the
+    real ones. The result is the product of the key counts by definition, so
+    bound the date span first.
     """
+    seen = df.agg(*[F.collect_set(name).alias(name) for name in (day, *dims)], _zero(df, amount))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The few days would end up in one task, which would then write the whole grid.
-    grid = df.select(day).distinct().repartition(tasks, day)
+    grid = seen.withColumn(day, F.explode(day)).repartition(tasks, day)
     for name in dims:
-        values = df.agg(F.collect_set(name)).scalar()
-        grid = grid.withColumn(name, F.explode(values))
-    zero = F.lit(0).cast(df.schema[amount].dataType).alias(amount)
+        grid = grid.withColumn(name, F.explode(name))
     keys = [*dims, day]
-    return (
-        df.select(*keys, amount)
-        .unionByName(grid.select(*keys, zero))
-        .groupBy(*keys)
-        .agg(F.sum(amount).alias(amount))
-    )
+    both = df.select(*keys, amount).unionByName(grid.select(*keys, amount))
+    return both.groupBy(*keys).agg(F.sum(amount).alias(amount))
 
 
 def moving_mean(daily: DataFrame, day: str, amount: str, rows: int, name: str) -> DataFrame:

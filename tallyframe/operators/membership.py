@@ -26,13 +26,14 @@ def member_flags(employees: DataFrame, home_prefix: str) -> DataFrame:
 
 
 def not_in(df: DataFrame, name: str, people: DataFrame) -> DataFrame:
-    """Rows whose name is not among `people.employee`; null names are kept
-    unless the list holds a null too."""
-    return df.join(people, df[name].eqNullSafe(people["employee"]), "left_anti")
+    """Rows whose name is not in the list; null is in it only if listed."""
+    listed = people.select("employee").distinct()
+    return df.join(listed, df[name].eqNullSafe(listed["employee"]), "left_anti")
 
 
 def among(df: DataFrame, name: str, people: DataFrame) -> DataFrame:
-    return df.join(people, df[name].eqNullSafe(people["employee"]), "left_semi")
+    listed = people.select("employee").distinct()
+    return df.join(listed, df[name].eqNullSafe(listed["employee"]), "left_semi")
 
 
 def classify(df: DataFrame, employees: DataFrame, home_prefix: str) -> DataFrame:

@@ -59,13 +59,20 @@ def line_numbers(
     earlier = Window.partitionBy(*within).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    shifts = ranged.groupBy(*within, "_range").agg(F.count(F.lit(1)).alias("_rows"))
-    shifts = shifts.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    counts = ranged.groupBy(*within, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    shift = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
 
-    inside = Window.partitionBy(*within, "_range").orderBy(*order)
-    numbered = ranged.withColumn("_in_range", F.row_number().over(inside))
-    keys = [*within, "_range"]
-    left, right = numbered.alias("n"), shifts.alias("s")
-    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
-    line = (F.col("n._in_range") + F.col("s._before")).alias(name)
-    return left.join(right, same).select(line, *[F.col(f"n.{c}") for c in df.columns])
+    # A range starts with a row that counts for all ranges before it; every
+    # listed row counts for one. The running sum is the line number, without
+    # joining the shifts to the rows.
+    starts = counts.select(*within, "_range", shift.alias("_step"), F.lit(0).alias("_listed"))
+    rows = ranged.withColumns({"_step": F.lit(1).cast("bigint"), "_listed": F.lit(1)})
+    running = (
+        Window.partitionBy(*within, "_range")
+        .orderBy("_listed", *order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    numbered = rows.unionByName(starts, allowMissingColumns=True).withColumn(
+        name, F.sum("_step").over(running)
+    )
+    return numbered.filter(F.col("_listed") == 1).select(name, *df.columns)

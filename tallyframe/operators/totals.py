@@ -28,7 +28,11 @@ def aggregate_by(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> Dat
 def with_group_total(
     df: DataFrame, group: Sequence[str], member: str, label: str, *aggregates: Column
 ) -> DataFrame:
-    """Aggregates per (group, member) plus one row per group labelled `label`."""
+    """Aggregates per (group, member) plus one row per group labelled `label`.
+
+    Grouping sets copy every input row, so give it rows already totalled by
+    (group, member).
+    """
     keys = [F.col(name) for name in (*group, member)]
     grouped = present(df, *group, member).groupingSets([keys, keys[:-1]], *keys)
     named = F.when(F.grouping(member) == 1, F.lit(label)).otherwise(F.col(member))

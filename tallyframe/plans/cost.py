@@ -29,29 +29,38 @@ from tallyframe.operators.totals import total_by, with_group_total
 
 
 def prepare(usage: DataFrame) -> DataFrame:
-    """Typed usage date plus the month key that most reports group by."""
+    """Typed usage date, its month key, and the day and month that reports group by."""
     usage = usage.withColumn("usage_date", F.col("usage_date").cast("timestamp_ntz"))
-    return usage.withColumn("report_month", month_key("usage_date"))
+    return usage.withColumns(
+        {
+            "report_month": month_key("usage_date"),
+            "day": F.to_date("usage_date"),
+            "month": month_start("usage_date"),
+        }
+    )
 
 
-def by_day(usage: DataFrame) -> DataFrame:
-    return usage.withColumn("day", F.to_date("usage_date"))
+def _keyed(totals: DataFrame) -> DataFrame:
+    """Month starts as month keys; done on the totals, not on every row."""
+    return totals.withColumn("month", month_key("month")).withColumnRenamed(
+        "month", "report_month"
+    )
 
 
 def daily_total(usage: DataFrame, start: AsOf | None = None) -> DataFrame:
     if start is not None:
         usage = usage.filter(on_or_after("usage_date", start))
-    return total_by(by_day(usage), ["day"], "cost")
+    return total_by(usage, ["day"], "cost")
 
 
 def daily_by_subscription(usage: DataFrame, position: int = 1) -> DataFrame:
     """One month's cost per day and subscription; position 1 is the newest month."""
     month = usage.filter(in_month("usage_date", month_at(usage, position)))
-    return total_by(by_day(month), ["day", "subscription"], "cost")
+    return total_by(month, ["day", "subscription"], "cost")
 
 
 def monthly_total(usage: DataFrame) -> DataFrame:
-    return total_by(usage, ["report_month"], "cost")
+    return _keyed(total_by(usage, ["month"], "cost"))
 
 
 def month_end_totals(costs: DataFrame, day: str = "date") -> DataFrame:
@@ -67,7 +76,7 @@ def category_total(usage: DataFrame) -> DataFrame:
 def compare_categories(usage: DataFrame, categories: Sequence[str]) -> DataFrame:
     """Monthly cost of the chosen categories side by side per subscription."""
     chosen = usage.filter(any_of("category", categories))
-    return total_by(chosen, ["subscription", "category", "report_month"], "cost")
+    return _keyed(total_by(chosen, ["subscription", "category", "month"], "cost"))
 
 
 def resource_groups(usage: DataFrame, month: AsOf) -> DataFrame:
@@ -91,7 +100,7 @@ def categories_by_resource_group(usage: DataFrame, month: AsOf) -> DataFrame:
 
 def _monthly_means(usage: DataFrame) -> DataFrame:
     """Per month and subscription: total, days seen, last day, mean per day seen."""
-    totals = by_day(usage).groupBy("report_month", "subscription").agg(
+    totals = usage.groupBy("month", "subscription").agg(
         amount_sum(usage, "cost").alias("cost"),
         F.countDistinct("day").alias("days"),
         F.max("day").alias("last_day"),
@@ -105,8 +114,8 @@ def mean_per_day(usage: DataFrame, months: int = 4) -> DataFrame:
     Days without cost do not count for a subscription.
     """
     means = _monthly_means(last_months(usage, months))
-    means = present(means, "report_month", "subscription")
-    return means.select("report_month", "subscription", "mean_cost")
+    means = present(means, "month", "subscription")
+    return _keyed(means.select("month", "subscription", "mean_cost"))
 
 
 def mean_per_day_with_total(
@@ -124,15 +133,15 @@ def month_end_forecast(usage: DataFrame) -> DataFrame:
     The remaining days count from the last day with data, each at the sum of
     the subscriptions' daily means. One pass over the data gives one row.
     """
-    means = present(_monthly_means(usage), "report_month")
+    means = present(_monthly_means(usage), "month")
     known = F.when(F.col("subscription").isNotNull(), F.col("mean_cost"))
-    months = means.groupBy("report_month").agg(
+    months = means.groupBy("month").agg(
         fine_sum("cost").alias("current_total"),
         fine_sum(known).alias("daily_mean"),
         F.max("last_day").alias("last_day"),
     )
     newest = months.agg(
-        F.max_by(F.struct("current_total", "daily_mean", "last_day"), "report_month").alias("m")
+        F.max_by(F.struct("current_total", "daily_mean", "last_day"), "month").alias("m")
     ).select("m.*")
     left = days_left_in_month("last_day").alias("remaining_days")
     forecast = newest.select(left, "current_total", "daily_mean")
@@ -142,7 +151,7 @@ def month_end_forecast(usage: DataFrame) -> DataFrame:
 
 def dense_daily(usage: DataFrame) -> DataFrame:
     """Cost per subscription, category and day seen, missing cells as 0."""
-    cells = total_by(by_day(usage), ["subscription", "category", "day"], "cost")
+    cells = total_by(usage, ["subscription", "category", "day"], "cost")
     return dense_cells(cells, ["subscription", "category"], "day", "cost")
 
 
@@ -162,15 +171,15 @@ def daily_moving_mean(usage: DataFrame, start: AsOf, rows: int = 7) -> DataFrame
 
 def top_categories(usage: DataFrame, months: int = 4, count: int = 6) -> DataFrame:
     """The largest categories per subscription in each of the newest months."""
-    keys = ["subscription", "report_month"]
+    keys = ["subscription", "month"]
     totals = total_by(last_months(usage, months), [*keys, "category"], "cost")
     top = top_per_group(totals, keys, "cost", "category", count)
-    return top.withColumn("cost_text", number_text("cost"))
+    return _keyed(top).withColumn("cost_text", number_text("cost"))
 
 
 def extent(usage: DataFrame) -> DataFrame:
     """First and last day, total and row count."""
-    return by_day(usage).agg(
+    return usage.agg(
         F.min("day").alias("first_day"),
         F.max("day").alias("last_day"),
         amount_sum(usage, "cost").alias("cost"),

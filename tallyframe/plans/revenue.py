@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.amounts import (
     CENTS,
     PRODUCT_SCALE,
+    amount_sum,
     currency_text,
     exact_mean,
     exact_sum,
@@ -19,6 +20,7 @@ from tallyframe.functions.dates import (
     AsOf,
     iso_day,
     month_key,
+    month_start,
     month_year_label,
     same_month,
     same_year,
@@ -70,8 +72,10 @@ def prepare(rates: DataFrame, start: AsOf) -> DataFrame:
 def projected(rates: DataFrame, as_of: AsOf) -> DataFrame:
     """Billable amount per month; the month of `as_of` is marked."""
     total = exact_sum("billable", PRODUCT_SCALE).alias("billable")
-    months = aggregate_by(rates, ["period", "month"], total)
-    return months.withColumn("is_current", same_month("period", as_of))
+    months = aggregate_by(rates, ["period"], total)
+    return months.withColumns(
+        {"month": month_year_label("period"), "is_current": same_month("period", as_of)}
+    )
 
 
 def current_month(rates: DataFrame, as_of: AsOf) -> DataFrame:
@@ -82,8 +86,9 @@ def current_month(rates: DataFrame, as_of: AsOf) -> DataFrame:
 def posts(rates: DataFrame, chosen: Sequence[str], label: str = "Total") -> DataFrame:
     """Full-time posts per period and chosen project, and per period in total."""
     listed = rates.filter(any_of("project", chosen))
-    total = exact_sum("fte", PRODUCT_SCALE).alias("fte")
-    return with_group_total(listed, ["period"], "project", label, total)
+    per_project = exact_sum("fte", PRODUCT_SCALE).alias("fte")
+    totals = aggregate_by(listed, ["period", "project"], per_project)
+    return with_group_total(totals, ["period"], "project", label, fine_sum("fte").alias("fte"))
 
 
 def billable_hours(
@@ -114,7 +119,16 @@ def type_columns(totals: DataFrame, month: str, amount: str) -> DataFrame:
 
 
 def _both_sides(invoices: DataFrame) -> DataFrame:
-    """Invoice and payment of each row as rows of their own, from one scan."""
+    """Invoiced and collected amounts as rows of their own, from one scan.
+
+    Invoices are first totalled by both months, of which there are few, so the
+    split into two rows does not touch every invoice.
+    """
+    keys = ["inv_yr", "inv_mon", "payment_yr", "payment_mon", "tx_type"]
+    totals = invoices.groupBy(*keys).agg(
+        amount_sum(invoices, "inv_amount").alias("inv_amount"),
+        amount_sum(invoices, "payment_amount").alias("payment_amount"),
+    )
 
     def side(name: str, year: str, month: str, amount: str) -> Column:
         return F.struct(
@@ -128,7 +142,7 @@ def _both_sides(invoices: DataFrame) -> DataFrame:
         side("invoiced", "inv_yr", "inv_mon", "inv_amount"),
         side("collected", "payment_yr", "payment_mon", "payment_amount"),
     )
-    return invoices.select("tx_type", F.inline(sides))
+    return totals.select("tx_type", F.inline(sides))
 
 
 def month_cells(invoices: DataFrame) -> DataFrame:
@@ -190,12 +204,16 @@ def revenue_split(invoices: DataFrame, rates: dict[str, float]) -> DataFrame:
 def listing(
     invoices: DataFrame, kinds: Sequence[str], outstanding_only: bool = False
 ) -> DataFrame:
-    """Invoices of the chosen types, by client and date."""
+    """Invoices of the chosen types, by client and date.
+
+    The other columns settle ties, so that the sort can split a client or a
+    day with very many rows.
+    """
     rows = invoices.filter(any_of("tx_type", kinds))
     if outstanding_only:
         rows = rows.filter(F.col("payment_amount").isNull())
     shown = ["client", "inv_date", "due_date", "inv_amount", "date_paid", "payment_amount"]
-    return rows.select(*shown).orderBy("client", "inv_date")
+    return rows.select(*shown).orderBy(*shown)
 
 
 def with_date_parts(invoices: DataFrame) -> DataFrame:
@@ -213,8 +231,9 @@ def with_date_parts(invoices: DataFrame) -> DataFrame:
 def holidays_per_month(holidays: DataFrame, as_of: AsOf) -> DataFrame:
     """Holidays per month in the year of `as_of`."""
     year = holidays.filter(same_year("holiday", as_of))
-    months = year.withColumn("month", month_key("holiday"))
-    return aggregate_by(months, ["month"], F.count("month").alias("holidays"))
+    months = year.withColumn("month", month_start("holiday"))
+    counts = aggregate_by(months, ["month"], F.count("month").alias("holidays"))
+    return counts.withColumn("month", month_key("month"))
 
 
 def holidays_in_month(holidays: DataFrame, as_of: AsOf) -> DataFrame:

@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.amounts import amount_sum, number_text
-from tallyframe.functions.dates import long_date, month_key
+from tallyframe.functions.dates import long_date, month_key, month_start
 from tallyframe.operators.totals import total_by
 
 
 def prepare(sponsor: DataFrame) -> DataFrame:
     sponsor = sponsor.withColumn("date", F.col("date").cast("timestamp_ntz"))
-    return sponsor.withColumn("report_month", month_key("date"))
+    return sponsor.withColumns(
+        {"report_month": month_key("date"), "month": month_start("date")}
+    )
 
 
 def running_cost(sponsor: DataFrame, key: str) -> DataFrame:
@@ -46,10 +48,14 @@ def large_regions(sponsor: DataFrame, limit: float = 1000.0) -> DataFrame:
     return running_cost(sponsor, "service_region").transform(above(limit))
 
 
+def total_per_month(sponsor: DataFrame, key: str) -> DataFrame:
+    totals = total_by(sponsor, ["month", key], "cost", "total")
+    return totals.select(month_key("month").alias("report_month"), key, "total")
+
+
 def monthly_by(sponsor: DataFrame, key: str, limit: float = 500.0) -> DataFrame:
     """Month by service name or type, totals above a limit."""
-    totals = total_by(sponsor, ["report_month", key], "cost", "total")
-    return totals.transform(above(limit, "total"))
+    return total_per_month(sponsor, key).transform(above(limit, "total"))
 
 
 def running_total_text(sponsor: DataFrame) -> DataFrame:

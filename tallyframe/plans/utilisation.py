@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.amounts import PRODUCT_SCALE, currency_text, exact_sum
+from tallyframe.functions.amounts import PRODUCT_SCALE, currency_text, exact_sum, fine_sum
 from tallyframe.functions.dates import AsOf, iso_day
 from tallyframe.functions.work import shortfall, shortfall_amount
 from tallyframe.operators.filters import eligible, in_closed_range
@@ -28,9 +28,11 @@ def lost(rates: DataFrame, start: AsOf, end: AsOf, strict: bool = True) -> DataF
 
 def per_project(rows: DataFrame) -> DataFrame:
     """Lost amount per project, and over all rows in the row marked as total."""
-    totals = rows.rollup("project").agg(
+    amount = exact_sum("shortfall_amt", PRODUCT_SCALE).alias("shortfall_amt")
+    projects = rows.groupBy("project").agg(amount)
+    totals = projects.rollup("project").agg(
         (F.grouping("project") == 1).alias("is_total"),
-        exact_sum("shortfall_amt", PRODUCT_SCALE).alias("shortfall_amt"),
+        fine_sum("shortfall_amt").alias("shortfall_amt"),
     )
     return totals.filter(F.col("is_total") | F.col("project").isNotNull())
 
@@ -44,7 +46,8 @@ def overall_text(rows: DataFrame) -> DataFrame:
 def details(rows: DataFrame) -> DataFrame:
     """The listing, by project and employee."""
     month = iso_day("period").alias("month")
-    return rows.select(*DETAIL, month, *HOURS).orderBy("project", "employee", "month")
+    ties = ["month", "rank", "level", *HOURS]
+    return rows.select(*DETAIL, month, *HOURS).orderBy("project", "employee", *ties)
 
 
 def drill_down(rows: DataFrame, employee: str) -> DataFrame:

@@ -18,6 +18,7 @@ from tallyframe.operators.membership import (
     OTHER_GROUP,
     classify,
     in_named_list,
+    not_in,
     worker_type_name,
 )
 from tallyframe.operators.ranking import line_numbers
@@ -70,8 +71,7 @@ def classified(lines: DataFrame, employees: DataFrame, home_prefix: str) -> Data
 def interns(lines: DataFrame, employees: DataFrame) -> DataFrame:
     """People with hours who are not in the employee list."""
     people = present(lines.select("employee_name"), "employee_name").distinct()
-    listed = employees.select("employee")
-    return people.join(listed, people["employee_name"] == listed["employee"], "left_anti")
+    return not_in(people, "employee_name", employees)
 
 
 def hours_of(people: DataFrame, worker_type: int) -> DataFrame:
@@ -80,6 +80,12 @@ def hours_of(people: DataFrame, worker_type: int) -> DataFrame:
     return chosen.select("account", "employee_name", _hours(F.col("minutes")).alias("total_hrs"))
 
 
+def hours_per_person(people: DataFrame) -> DataFrame:
+    """Hours per employee over all accounts, with the worker type."""
+    total = _hours(F.sum("minutes")).alias("total_hrs")
+    return people.groupBy("employee_name", "worker_type").agg(total)
+
+
 def hours_by_type(people: DataFrame, names: Sequence[str]) -> DataFrame:
     """Hours and their share per worker type."""
     totals = people.groupBy("worker_type").agg(F.sum("minutes").alias("minutes"))
