@@ -174,7 +174,7 @@ def _publish_twice(s: SparkSession, d: str) -> DataFrame:
 
 CHECKS = {
     "s1_table_scan": Check(
-        lambda s, d: tables.scan(s, f"{d}/orders.parquet"),
+        lambda s, d: tables.scan(s, f"{d}/orders.parquet", schema=data.TABLES["orders"]),
         """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
           strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders""",
     ),

@@ -18,7 +18,8 @@ PRODUCT_SCALE = 4  # hours x rate, fractions of a full-time post
 
 
 def whole_units(value: Column | str, scale: int = CENTS) -> Column:
-    return F.round(col(value) * 10**scale).cast("bigint")
+    """A double in units of its last decimal; rint, as round goes through decimals."""
+    return F.rint(col(value) * 10**scale).cast("bigint")
 
 
 def exact_sum(value: Column | str, scale: int = CENTS) -> Column:
@@ -33,9 +34,12 @@ def amount_sum(df: DataFrame, name: str) -> Column:
     outgrow a long; everything else adds cents.
     """
     kind = df.schema[name].dataType
-    if isinstance(kind, T.DecimalType) and kind.scale > CENTS:
+    if not isinstance(kind, T.DecimalType):
+        return exact_sum(name)
+    if kind.scale > CENTS:
         return F.coalesce(F.sum(name), F.lit(0)).cast("double")
-    return exact_sum(name)
+    cents = F.sum((F.col(name) * 10**CENTS).cast("bigint"))
+    return F.coalesce(cents, F.lit(0)) / F.lit(10**CENTS)
 
 
 def exact_mean(value: Column | str, scale: int = CENTS) -> Column:

@@ -37,7 +37,7 @@ def line_numbers(
     order: Sequence[str],
     within: Sequence[str] = (),
     name: str = "line_no",
-    ranges: int = 64,
+    ranges: int = 256,
 ) -> DataFrame:
     """Number the rows 1, 2, 3 .. in ascending order, anew in each subset.
 
@@ -48,13 +48,21 @@ def line_numbers(
     sample gives the same numbers. End `order` with a unique column, so that
     one repeated key cannot fill a range.
     """
-    if ranges < 2:
-        raise ValueError("ranges must be at least 2")
+    if ranges < 2 or ranges & (ranges - 1):
+        raise ValueError("ranges must be a power of two")
     key = F.struct(*[F.col(c) for c in order])
     sample = df.select(key.alias("key")).orderBy(F.xxhash64("key"), "key").limit(ranges - 1)
     splits = sample.agg(F.sort_array(F.collect_list("key"))).scalar()
-    below = F.filter("_splits", lambda split: split < key)
-    ranged = df.withColumn("_splits", splits).withColumn("_range", F.size(below)).drop("_splits")
+
+    # Binary search for the number of splits below the key, one step per column.
+    ranged = df.withColumn("_splits", splits).withColumn("_range", F.lit(0))
+    step = ranges // 2
+    while step:
+        split = F.get("_splits", F.col("_range") + (step - 1))
+        found = F.when(split < key, F.col("_range") + step).otherwise(F.col("_range"))
+        ranged = ranged.withColumn("_range", found)
+        step //= 2
+    ranged = ranged.drop("_splits")
 
     earlier = Window.partitionBy(*within).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1

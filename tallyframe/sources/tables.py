@@ -6,12 +6,24 @@ from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
-def scan(spark: SparkSession, source: str, columns: Sequence[str] = ()) -> DataFrame:
-    """A table by name, or a Parquet path; only the listed columns if any are given."""
-    is_path = "/" in source
-    df = spark.read.parquet(source) if is_path else spark.table(source)
+def scan(
+    spark: SparkSession,
+    source: str,
+    columns: Sequence[str] = (),
+    schema: T.StructType | str | None = None,
+) -> DataFrame:
+    """A table by name, or a Parquet path; only the listed columns if any are given.
+
+    With a schema, Spark need not open the files of a path to learn it.
+    """
+    if "/" in source:
+        reader = spark.read.schema(schema) if schema else spark.read
+        df = reader.parquet(source)
+    else:
+        df = spark.table(source)
     return df.select(*columns) if columns else df
 
 

@@ -241,7 +241,7 @@ def test_forecast_by_hand(spark):
     }
 
 
-@pytest.mark.parametrize("ranges", [2, 5, 64])
+@pytest.mark.parametrize("ranges", [2, 16, 256])
 def test_line_numbers_with_nulls_ties_and_a_hot_subset(spark, ranges):
     data = [("hot" if i % 3 else f"g{i % 4}", f"n{(i * 37) % 101:03d}", i) for i in range(300)]
     data += [(None, None, 1000), (None, "x", 1001), ("hot", None, 1002)]
