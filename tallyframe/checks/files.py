@@ -6,6 +6,8 @@ them back through the sources.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,15 +18,13 @@ from tallyframe.checks.projections import STATUS_RULES
 from tallyframe.checks.views import over
 from tallyframe.functions import dates, labels
 from tallyframe.functions.amounts import exact_sum
-from tallyframe.sources import exports, publish, tables
+from tallyframe.sources import datasets, exports, publish, tables
 
-EXPORT_TIME = "dd/MM/yyyy HH:mm:ss"
-USAGE_TEXT = schemas.T.StructType(
-    [schemas.T.StructField(name, schemas.T.StringType()) for name in schemas.USAGE.names]
-)
+EXPORT_TIME = "yyyy-MM-dd HH:mm:ss"
 USAGE_SQL = """
     SELECT strftime(usage_date, '%Y-%m-%d %H:%M:%S') AS usage_date, category, subscription,
       resource_group, CAST(cost AS DOUBLE) AS cost FROM usage"""
+PREAMBLE = ["Usage report", '"All rights, reserved"']
 EOD_SQL = """
     SELECT employee_name, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, account, hours, minutes
     FROM eod"""
@@ -78,20 +78,26 @@ def _csv_round_trip(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-def write_with_preamble(lines: DataFrame, folder: str, by: Column, preamble: list[str]):
+def _export_names(df: DataFrame, export: datasets.Export) -> DataFrame:
+    """The dataset as an export names it."""
+    return df.select(*[F.col(mine).alias(theirs) for theirs, mine in export.columns.items()])
+
+
+def _write_with_preamble(lines: DataFrame, folder: str, by: Column, preamble: list[str]) -> None:
     """Text files that start with preamble lines and a header, one set per `by`.
 
     Several files per value, each with its own first lines, so that a hot value
     is not written by one task.
     """
     files = 4
-    spread = F.pmod(F.xxhash64(*lines.columns), F.lit(files))
+    quoted = [f"`{name}`" for name in lines.columns]
+    spread = F.pmod(F.xxhash64(*quoted), F.lit(files))
     options = {"timestampNTZFormat": EXPORT_TIME}
     body = lines.select(
         by.alias("part"),
         spread.alias("file_no"),
         F.lit(len(preamble) + 1).alias("line_no"),
-        F.to_csv(F.struct(*lines.columns), options).alias("value"),
+        F.to_csv(F.struct(*quoted), options).alias("value"),
     )
     heads = F.array(
         *[
@@ -110,19 +116,10 @@ def write_with_preamble(lines: DataFrame, folder: str, by: Column, preamble: lis
 
 def _preamble_files(s: SparkSession, d: str) -> DataFrame:
     folder = publish.work_folder(s)
-    write_with_preamble(
-        usage(s, d), folder, F.year("usage_date"), ["Usage report", '"All rights, reserved"']
-    )
-    read = exports.read_after_preamble(
-        s, f"{folder}/*/*", USAGE_TEXT, skip=2, name_pattern="*.txt"
-    )
-    return read.select(
-        dates.to_timestamp("usage_date", EXPORT_TIME).alias("usage_date"),
-        "category",
-        "subscription",
-        "resource_group",
-        F.col("cost").try_cast("decimal(18,6)").alias("cost"),
-    )
+    export = datasets.EXPORTS["usage"]
+    lines = _export_names(usage(s, d), export)
+    _write_with_preamble(lines, folder, F.year("UsageDate"), PREAMBLE)
+    return datasets.read_export(s, export, f"{folder}/*/*", name_pattern="*.txt")
 
 
 def _dates_at_ingest(s: SparkSession, d: str) -> DataFrame:
@@ -148,10 +145,8 @@ def _delimited_sink(sep: str) -> Check:
     return Check(run, over("eod", EOD_SQL))
 
 
-def _publish_twice(s: SparkSession, d: str) -> DataFrame:
-    """Six datasets published twice; the second copy replaces the first."""
-    folder = publish.work_folder(s)
-    views = {
+def _views(d: str) -> dict[str, Callable[[SparkSession], DataFrame]]:
+    return {
         "usage": lambda s: usage(s, d),
         "rates": lambda s: typed(data.rates(s, d), schemas.RATES),
         "holiday": lambda s: data.holiday(s, d),
@@ -159,6 +154,12 @@ def _publish_twice(s: SparkSession, d: str) -> DataFrame:
         "employee": lambda s: typed(data.employee(s, d), schemas.EMPLOYEE),
         "eod": lambda s: typed(data.eod(s, d), schemas.EOD),
     }
+
+
+def _publish_twice(s: SparkSession, d: str) -> DataFrame:
+    """Six datasets published twice; the second copy replaces the first."""
+    folder = publish.work_folder(s)
+    views = _views(d)
     jobs = [
         publish.Publication(name, read, f"{folder}/{name}", "usage_date" if name == "usage" else None)
         for name, read in views.items()
@@ -172,6 +173,53 @@ def _publish_twice(s: SparkSession, d: str) -> DataFrame:
     return exports.union_exports(*counts)
 
 
+def _ingest(s: SparkSession, d: str) -> DataFrame:
+    """Six datasets written as exports, read back by their layout and published."""
+    folder = publish.work_folder(s)
+    results = []
+    for name, view in _views(d).items():
+        export, path = datasets.EXPORTS[name], f"{folder}/{name}-export"
+        lines = _export_names(view(s), export)
+        for column in export.schema:
+            if column.dataType == schemas.T.BooleanType():
+                theirs = next(t for t, mine in export.columns.items() if mine == column.name)
+                lines = lines.withColumn(theirs, F.when(F.col(theirs), export.flag_mark))
+        if export.skip:
+            _write_with_preamble(lines, path, F.lit(1), PREAMBLE[: export.skip])
+            source = f"{path}/*/*"
+        else:
+            publish.write_delimited(lines, path, export.sep)
+            source = path
+        job = publish.Publication(
+            name,
+            lambda s, export=export, source=source: datasets.read_export(s, export, source),
+            f"{folder}/{name}",
+        )
+        published = tables.scan(s, publish.publish(s, job), schema=job.schema)
+        number, flagged, day = SUMMARY[name]
+        results.append(
+            published.agg(
+                F.lit(name).alias("dataset"),
+                F.count(F.lit(1)).alias("row_count"),
+                F.expr(f"CAST(sum({number}) AS DOUBLE)").alias("total"),
+                F.count(flagged).alias("present"),
+                F.max(F.expr(day)).cast("date").alias("last_day"),
+            )
+        )
+    return exports.union_exports(*results)
+
+
+# Per dataset: a number to total, a column to count, and a date, as SQL of both engines.
+SUMMARY = {
+    "usage": ("cost", "resource_group", "usage_date"),
+    "rates": ("target", "billed", "period"),
+    "holiday": ("day(holiday)", "holiday_name", "holiday"),
+    "invoice": ("payment_amount", "date_paid", "due_date"),
+    "employee": ("include", "billed_project", "CAST(NULL AS DATE)"),
+    "eod": ("minutes", "employee_name", "date"),
+}
+
+
 CHECKS = {
     "s1_table_scan": Check(
         lambda s, d: tables.scan(s, f"{d}/orders.parquet", schema=data.TABLES["orders"]),
@@ -216,6 +264,18 @@ CHECKS = {
     ),
     "s7_comma_sink": _delimited_sink(","),
     "s7_pipe_sink": _delimited_sink("|"),
+    "s8_ingest_and_publish": Check(
+        _ingest,
+        over(
+            " ".join(SUMMARY),
+            " UNION ALL ".join(
+                f"""SELECT '{name}' AS dataset, count(*) AS row_count,
+                  CAST(sum({number}) AS DOUBLE) AS total, count({flagged}) AS present,
+                  strftime(max({day}), '%Y-%m-%d') AS last_day FROM {name}"""
+                for name, (number, flagged, day) in SUMMARY.items()
+            ),
+        ),
+    ),
     "s8_publish_twice": Check(
         _publish_twice,
         """SELECT 'usage' AS dataset, count(*) AS row_count FROM orders

@@ -104,15 +104,16 @@ CHECKS = {
         lambda s, d: filters.column_range(data.employee(s, d), "employee", "account"),
         over(
             "employee",
-            'SELECT employee, grp, resigned, "rank", "level", account FROM employee',
+            'SELECT employee, grp, resigned, last_day, "rank", "level", "start", account'
+            " FROM employee",
         ),
     ),
     "p4_drop_columns": Check(
         lambda s, d: data.employee(s, d).drop("include", "remarks", "activities"),
         over(
             "employee",
-            """SELECT employee, grp, resigned, "rank", "level", account, grp2, company,
-              billed_project FROM employee""",
+            """SELECT employee, grp, resigned, last_day, "rank", "level", "start", account, grp2,
+              company, billed_project FROM employee""",
         ),
     ),
     "p5_value_present": _rates_filter(lambda: F.col("project").isNotNull(), "project IS NOT NULL"),
@@ -227,6 +228,22 @@ CHECKS = {
     "p21_resigned": _employment(False, True, "resigned"),
     "p21_active_and_resigned": _employment(True, True, "TRUE"),
     "p21_neither": _employment(False, False, "FALSE"),
+    "p21_staff_listing": Check(
+        lambda s, d: workforce.staff_listing(
+            workforce.regular(data.employee(s, d)), True, False, ["Core", "nan"]
+        ).select("employee", "account", "last_day"),
+        over(
+            "employee",
+            """SELECT employee, coalesce(account, 'nan') AS account, last_day FROM employee
+            WHERE include = 1 AND NOT resigned AND (account = 'Core' OR account IS NULL)""",
+        ),
+    ),
+    "p21_staff_listing_count": Check(
+        lambda s, d: workforce.row_count(
+            workforce.staff_listing(workforce.regular(data.employee(s, d)), True, True)
+        ),
+        over("employee", "SELECT count(*) AS row_count FROM employee WHERE include = 1"),
+    ),
     "p22_roster": Check(
         lambda s, d: workforce.roster(data.employee(s, d), "NATION_10", "Solutions"),
         over(
@@ -292,6 +309,18 @@ CHECKS = {
             WHERE company IN ('NATION_10', 'NATION_5', 'NATION_12', 'NATION_3') AND grp2 IN ('AFRICA', 'ASIA')""",
         ),
     ),
+    "p28_employee_listing": Check(
+        lambda s, d: workforce.employee_listing(
+            data.employee(s, d), False, True, ["NATION_10", "NATION_5", "NATION_12"], ["AFRICA"]
+        ),
+        over(
+            "employee",
+            """SELECT employee, resigned, last_day, "rank", "level", grp, "start",
+              coalesce(account, 'nan') AS account, grp2, company, remarks FROM employee
+            WHERE resigned AND company IN ('NATION_10', 'NATION_5', 'NATION_12')
+              AND grp2 = 'AFRICA'""",
+        ),
+    ),
     "p29_drill_down": Check(
         lambda s, d: utilisation.drill_down(
             utilisation.lost(data.rates(s, d), *SHORT_DATES, False), "7"

@@ -33,6 +33,11 @@ MONEY_COLUMNS = ", ".join(
 RANKED_MONTHS = "SELECT DISTINCT report_month FROM usage ORDER BY report_month DESC"
 
 
+def _top_of_groups(usage):
+    chosen = cost.of_groups(usage, ["MACHINERY", "FURNITURE"])
+    return cost.top_categories(chosen, months=4, count=3, months_of=usage)
+
+
 def _type_columns(totals, month: str, amount: str, sql_month: str, sql_year: str) -> Check:
     return Check(
         lambda s, d: revenue.type_columns(totals(data.invoice(s, d)), month, amount),
@@ -107,6 +112,21 @@ CHECKS = {
             WHERE position <= 3""",
         ),
     ),
+    "w2_top_categories_of_chosen_groups": Check(
+        lambda s, d: _top_of_groups(data.usage(s, d, groups=True)),
+        over(
+            "usage",
+            f"""SELECT subscription, report_month, category, cost, position,
+              format('{{:,.2f}}', cost) AS cost_text
+            FROM (SELECT *, row_number() OVER (PARTITION BY subscription, report_month
+                  ORDER BY cost DESC, category) AS position
+              FROM (SELECT subscription, report_month, category, {COST} FROM usage
+                WHERE report_month IN ({RANKED_MONTHS} LIMIT 4)
+                  AND resource_group IN ('MACHINERY', 'FURNITURE')
+                GROUP BY subscription, report_month, category))
+            WHERE position <= 3""",
+        ),
+    ),
     "w2_top_resources_per_month": Check(
         lambda s, d: top_per_group(
             sponsorship.total_per_month(data.sponsor(s, d), "service_resource"),

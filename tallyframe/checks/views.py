@@ -46,10 +46,11 @@ VIEWS = {
         SELECT CAST(o_orderdate AS DATE) AS holiday, o_orderpriority AS holiday_name FROM orders""",
     "employee": """
         SELECT CAST(c_custkey + c_custkey // 4 AS VARCHAR) AS employee, c_mktsegment AS grp,
-          c_acctbal < 0 AS resigned, c_mktsegment AS "rank",
-          CAST(n_regionkey AS VARCHAR) AS "level",
+          c_acctbal < 0 AS resigned, CASE WHEN c_acctbal < 0 THEN '2024-01-31' END AS last_day,
+          c_mktsegment AS "rank", CAST(n_regionkey AS VARCHAR) AS "level",
+          '2020-01-01' AS "start",
           CASE WHEN c_nationkey < 8 THEN 'Core' WHEN c_nationkey < 16 THEN 'Solutions'
-            ELSE 'Delivery' END AS account,
+            WHEN c_nationkey < 24 THEN 'Delivery' END AS account,
           r_name AS grp2, CASE WHEN c_nationkey <> 0 THEN n_name END AS company,
           CAST(CASE WHEN c_acctbal > 9000 THEN 0 ELSE 1 END AS BIGINT) AS include,
           c_name AS remarks,

@@ -27,12 +27,15 @@ def month_at(df: DataFrame, position: int, day: str = "usage_date") -> Column:
     return months.select("month").scalar()
 
 
-def last_months(df: DataFrame, count: int, day: str = "usage_date") -> DataFrame:
-    """Rows of the newest `count` distinct months.
+def last_months(
+    df: DataFrame, count: int, day: str = "usage_date", months_of: DataFrame | None = None
+) -> DataFrame:
+    """Rows of the newest `count` distinct months, of `months_of` if given.
 
     One comparison of the stored date with the oldest month kept; no join.
     """
-    kept = newest_months(df, day).filter(F.col("position") <= count)
+    source = df if months_of is None else months_of
+    kept = newest_months(source, day).filter(F.col("position") <= count)
     return df.filter(on_or_after(day, kept.agg(F.min("month")).scalar()))
 
 

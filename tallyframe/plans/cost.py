@@ -1,4 +1,9 @@
-"""Cloud cost reports over the usage dataset."""
+"""Cloud cost reports over the usage dataset.
+
+Reports on the newest months take `months_of`: the frame whose months count.
+Give the whole usage there when the report runs on chosen resource groups, so
+that a group without recent cost does not fall back to older months.
+"""
 
 from __future__ import annotations
 
@@ -23,7 +28,7 @@ from tallyframe.operators.calendar import (
     month_at,
     moving_mean,
 )
-from tallyframe.operators.filters import any_of, in_month, on_or_after, present
+from tallyframe.operators.filters import any_of, chosen_or_all, in_month, on_or_after, present
 from tallyframe.operators.ranking import order_by_group_total, top_per_group
 from tallyframe.operators.totals import total_by, with_group_total
 
@@ -53,9 +58,17 @@ def daily_total(usage: DataFrame, start: AsOf | None = None) -> DataFrame:
     return total_by(usage, ["day"], "cost")
 
 
-def daily_by_subscription(usage: DataFrame, position: int = 1) -> DataFrame:
+def of_groups(usage: DataFrame, chosen: Sequence[str] = ()) -> DataFrame:
+    """Usage of the chosen resource groups; no choice means all."""
+    return usage.filter(chosen_or_all("resource_group", chosen))
+
+
+def daily_by_subscription(
+    usage: DataFrame, position: int = 1, months_of: DataFrame | None = None
+) -> DataFrame:
     """One month's cost per day and subscription; position 1 is the newest month."""
-    month = usage.filter(in_month("usage_date", month_at(usage, position)))
+    source = usage if months_of is None else months_of
+    month = usage.filter(in_month("usage_date", month_at(source, position)))
     return total_by(month, ["day", "subscription"], "cost")
 
 
@@ -108,21 +121,26 @@ def _monthly_means(usage: DataFrame) -> DataFrame:
     return totals.withColumn("mean_cost", F.try_divide("cost", "days"))
 
 
-def mean_per_day(usage: DataFrame, months: int = 4) -> DataFrame:
+def mean_per_day(
+    usage: DataFrame, months: int = 4, months_of: DataFrame | None = None
+) -> DataFrame:
     """Mean daily cost per subscription in the newest months.
 
     Days without cost do not count for a subscription.
     """
-    means = _monthly_means(last_months(usage, months))
+    means = _monthly_means(last_months(usage, months, months_of=months_of))
     means = present(means, "month", "subscription")
     return _keyed(means.select("month", "subscription", "mean_cost"))
 
 
 def mean_per_day_with_total(
-    usage: DataFrame, months: int = 4, label: str = "Total"
+    usage: DataFrame,
+    months: int = 4,
+    label: str = "Total",
+    months_of: DataFrame | None = None,
 ) -> DataFrame:
     """As above plus, per month, a row that adds the subscription means."""
-    means = mean_per_day(usage, months)
+    means = mean_per_day(usage, months, months_of)
     mean = fine_sum("mean_cost").alias("mean_cost")
     return with_group_total(means, ["report_month"], "subscription", label, mean)
 
@@ -169,10 +187,13 @@ def daily_moving_mean(usage: DataFrame, start: AsOf, rows: int = 7) -> DataFrame
     return means.filter(F.col("day") >= as_date(start))
 
 
-def top_categories(usage: DataFrame, months: int = 4, count: int = 6) -> DataFrame:
+def top_categories(
+    usage: DataFrame, months: int = 4, count: int = 6, months_of: DataFrame | None = None
+) -> DataFrame:
     """The largest categories per subscription in each of the newest months."""
     keys = ["subscription", "month"]
-    totals = total_by(last_months(usage, months), [*keys, "category"], "cost")
+    newest = last_months(usage, months, months_of=months_of)
+    totals = total_by(newest, [*keys, "category"], "cost")
     top = top_per_group(totals, keys, "cost", "category", count)
     return _keyed(top).withColumn("cost_text", number_text("cost"))
 

@@ -11,7 +11,14 @@ from tallyframe.functions.amounts import number_text
 from tallyframe.functions.dates import AsOf
 from tallyframe.functions.labels import override
 from tallyframe.functions.work import hours_total, worked_minutes
-from tallyframe.operators.filters import any_of, differs, in_closed_range, present
+from tallyframe.operators.filters import (
+    any_of,
+    differs,
+    employment,
+    facets,
+    in_closed_range,
+    present,
+)
 from tallyframe.operators.membership import (
     HOME,
     INTERN,
@@ -24,6 +31,19 @@ from tallyframe.operators.membership import (
 from tallyframe.operators.ranking import line_numbers
 from tallyframe.operators.totals import aggregate_by, share_of_total
 
+LISTING = [
+    "employee",
+    "resigned",
+    "last_day",
+    "rank",
+    "level",
+    "grp",
+    "start",
+    "account",
+    "grp2",
+    "company",
+    "remarks",
+]
 ROSTER = ["employee", "rank", "level", "remarks"]
 
 
@@ -171,6 +191,39 @@ def only(wide: DataFrame, worker_type: int) -> DataFrame:
     return wide.filter(F.col("worker_type") == worker_type).drop("worker_type")
 
 
+def staff_listing(
+    employees: DataFrame, active: bool, left: bool, accounts: Sequence[str] | None = None
+) -> DataFrame:
+    """Employees by the two check boxes and chosen accounts; None means all.
+
+    A missing account is shown, and chosen, as "nan".
+    """
+    rows = employees.filter(employment("resigned", active, left)).fillna("nan", ["account"])
+    return rows if accounts is None else rows.filter(any_of("account", accounts))
+
+
+def employee_listing(
+    employees: DataFrame,
+    active: bool,
+    left: bool,
+    companies: Sequence[str] | None = None,
+    departments: Sequence[str] | None = None,
+) -> DataFrame:
+    """The wide listing, narrowed to companies and then departments; None means all."""
+    chosen = [
+        (name, values)
+        for name, values in (("company", companies), ("grp2", departments))
+        if values is not None
+    ]
+    rows = staff_listing(employees, active, left).select(*LISTING)
+    return facets(rows, *chosen)
+
+
+def row_count(df: DataFrame) -> DataFrame:
+    """The count shown beside a listing."""
+    return df.agg(F.count(F.lit(1)).alias("row_count"))
+
+
 def roster(employees: DataFrame, company: str, account: str) -> DataFrame:
     active = F.col("resigned") == F.lit(False)
     place = (F.col("company") == company) & (F.col("account") == account)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,16 +30,15 @@ def read_csv(
 def read_after_preamble(
     spark: SparkSession,
     path: str | list[str],
-    layout: T.StructType,
     skip: int,
     columns: Sequence[str] = (),
     sep: str = ",",
     name_pattern: str | None = None,
 ) -> DataFrame:
-    """Delimited files whose header follows `skip` free-text lines.
+    """Delimited files whose header follows `skip` free-text lines, as text columns.
 
-    `layout` names and types the file's columns in file order; a header that
-    differs from it fails the read. `columns` picks some of them.
+    `columns` picks some columns by header name. All files must have the same
+    header; one that differs fails the read.
 
     Large files stay splittable. Only a file's first block holds its first
     lines, and row ids rise along a task's input, so a line belongs to the
@@ -53,20 +53,30 @@ def read_after_preamble(
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"),
     )
-    first = (
-        lines.filter(F.col("block") == 0).groupBy("file").agg(F.min("id").alias("first_id"))
-    )
+    header = _header(lines, skip)
+    names = next(csv.reader([header], delimiter=sep))
+
+    starts = lines.filter(F.col("block") == 0)
+    first = starts.groupBy("file").agg(F.min("id").alias("first_id"))
     at = F.when(F.col("block") == 0, F.col("id") - F.col("first_id"))
-    header = sep.join(layout.names)
     mismatch = F.raise_error(F.concat(F.lit(f"header is not {header!r}: "), F.col("value")))
     is_data = (
         F.when(at < skip, False)
         .when(at == skip, F.when(F.trim("value") == header, False).otherwise(mismatch))
         .otherwise(F.length(F.trim("value")) > 0)
     )
-    parsed = F.from_csv("value", layout.simpleString()[7:-1].replace(":", " "), {"sep": sep})
+    layout = ", ".join(f"`{name.strip()}` STRING" for name in names)
+    parsed = F.from_csv("value", layout, {"sep": sep})
     rows = lines.join(first, "file").filter(is_data).select(parsed.alias("row")).select("row.*")
-    return rows.select(*columns) if columns else rows
+    return rows.select(*[f"`{name}`" for name in columns]) if columns else rows
+
+
+def _header(lines: DataFrame, skip: int) -> str:
+    """Line number `skip` of one of the files; reads no more than its start."""
+    head = lines.filter(F.col("block") == 0).select("file", "value").head(skip + 1)
+    if len(head) <= skip or head[0]["file"] != head[skip]["file"]:
+        raise ValueError(f"no file has a header after {skip} lines")
+    return head[skip]["value"].strip()
 
 
 def union_exports(*frames: DataFrame) -> DataFrame:

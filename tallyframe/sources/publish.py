@@ -30,7 +30,8 @@ def work_folder(spark: SparkSession) -> str:
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",") -> None:
     """Delimited files with a header line, replacing the old ones."""
-    df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+    writer = df.write.mode("overwrite").option("header", True).option("sep", sep)
+    writer.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").csv(path)
 
 
 def write_by(df: DataFrame, path: str, *partition: str) -> None:

@@ -152,9 +152,14 @@ def employee(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("c_custkey") + F.floor(F.col("c_custkey") / 4)).cast("string").alias("employee"),
         F.col("c_mktsegment").alias("grp"),
         (F.col("c_acctbal") < 0).alias("resigned"),
+        F.when(F.col("c_acctbal") < 0, F.lit("2024-01-31").cast("date")).alias("last_day"),
         F.col("c_mktsegment").alias("rank"),
         F.col("n_regionkey").cast("string").alias("level"),
-        F.when(place < 8, "Core").when(place < 16, "Solutions").otherwise("Delivery").alias("account"),
+        F.lit("2020-01-01").cast("date").alias("start"),
+        F.when(place < 8, "Core")
+        .when(place < 16, "Solutions")
+        .when(place < 24, "Delivery")
+        .alias("account"),
         F.col("r_name").alias("grp2"),
         F.when(place != 0, F.col("n_name")).alias("company"),
         F.when(F.col("c_acctbal") > 9000, 0).otherwise(1).alias("include"),

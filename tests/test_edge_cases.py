@@ -412,3 +412,16 @@ def test_total_row_is_the_sum_of_its_parts(spark):
     )
     for row in by_month.collect():
         assert row["total"] == pytest.approx(row["parts"])
+
+
+def test_months_count_over_all_usage_when_groups_are_chosen(spark):
+    df = usage(
+        spark,
+        [("2024-01-10", "a", "Beta", "old", 1), ("2024-02-10", "a", "Beta", "new", 2),
+         ("2024-03-10", "a", "Beta", "new", 4)],
+    )
+    chosen = cost.of_groups(df, ["old"])
+    assert cost.top_categories(chosen, months=2, months_of=df).count() == 0
+    assert cost.top_categories(chosen, months=2).count() == 1
+    assert cost.daily_by_subscription(chosen, 1, months_of=df).count() == 0
+    assert cost.of_groups(df).count() == 3

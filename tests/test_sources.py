@@ -7,13 +7,11 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyframe import schemas, standins
 from tallyframe.functions import dates
-from tallyframe.sources import exports, publish, tables
+from tallyframe.sources import datasets, exports, publish, tables
 
-LAYOUT = T.StructType([T.StructField(n, T.StringType()) for n in ("Category", "Cost", "UsageDate")])
 LINES = ["Report", "printed, twice", "Category,Cost,UsageDate"]
 
 
@@ -26,7 +24,7 @@ def test_preamble_quotes_empty_fields_and_patterns(spark, tmp_path):
     write(tmp_path / "Usage 2024-02.csv", "printed,2,2024-02-01 10:00:00", "", "Report,x,bad")
     write(tmp_path / "Other 2024-02.csv", "never,9,2024-02-01 00:00:00")
     read = exports.read_after_preamble(
-        spark, str(tmp_path), LAYOUT, skip=2, name_pattern="Usage 2024-*.csv"
+        spark, str(tmp_path), skip=2, name_pattern="Usage 2024-*.csv"
     )
     typed = read.select(
         "Category",
@@ -43,7 +41,7 @@ def test_preamble_quotes_empty_fields_and_patterns(spark, tmp_path):
         key=str,
     )
     picked = exports.read_after_preamble(
-        spark, str(tmp_path), LAYOUT, 2, columns=["Cost"], name_pattern="Usage*"
+        spark, str(tmp_path), 2, columns=["Cost"], name_pattern="Usage*"
     )
     assert picked.columns == ["Cost"]
 
@@ -56,7 +54,7 @@ def test_preamble_in_files_of_many_blocks(spark, tmp_path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
     try:
-        read = exports.read_after_preamble(spark, str(tmp_path), LAYOUT, skip=2)
+        read = exports.read_after_preamble(spark, str(tmp_path), skip=2)
         got = read.groupBy("Category").count().collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
@@ -66,9 +64,10 @@ def test_preamble_in_files_of_many_blocks(spark, tmp_path):
 
 
 def test_unexpected_header_fails(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("one\ntwo\nCost,Category,UsageDate\n1,a,b\n")
+    write(tmp_path / "a.csv", "a,1,x", "b,2,y")
+    (tmp_path / "b.csv").write_text("one\ntwo\nCost,Category,UsageDate\n1,a,b\n")
     with pytest.raises(Exception, match="header is not"):
-        exports.read_after_preamble(spark, str(tmp_path), LAYOUT, skip=2).collect()
+        exports.read_after_preamble(spark, str(tmp_path), skip=2).collect()
 
 
 def test_union_fills_missing_columns_with_null(spark):
@@ -81,7 +80,7 @@ def test_union_fills_missing_columns_with_null(spark):
 
 @pytest.mark.parametrize("sep", [",", "|"])
 def test_delimited_round_trip_is_the_same_bag(spark, tmp_path, sep):
-    data = [("a,b", dt.datetime(2024, 1, 1, 9, 30), 'q"x|', 1, 2), ("a,b", None, None, None, 0)] * 2
+    data = [("a,b", dt.datetime(2024, 1, 1, 9, 30, 0, 123456), 'q"x|', 1, 2), ("a,b", None, None, None, 0)] * 2
     df = spark.createDataFrame(data, schemas.EOD)
     path = str(tmp_path / "out")
     publish.write_delimited(df, path, sep)
@@ -134,3 +133,65 @@ def test_work_folder_follows_the_session(spark):
     assert first != second
     if shared:
         assert first.startswith(shared)
+
+
+def test_missing_header_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("one\n")
+    with pytest.raises(ValueError, match="no file has a header"):
+        exports.read_after_preamble(spark, str(tmp_path), skip=2)
+
+
+def usage_file(path, *lines):
+    header = "Region,Category,Subscription,Cost,UsageDate,Resource Group"
+    path.write_text("\n".join(["Report", "for a year", header, *lines]) + "\n")
+
+
+def test_usage_of_several_years_follows_the_rule_of_its_files(spark, tmp_path):
+    usage_file(
+        tmp_path / "Usage 2024-01.csv",
+        "eu,Disks,Main,1.234567,2024-01-03 00:00:00,g1",
+        "eu,Disks,Test,bad,2024-01-04 00:00:00,",
+    )
+    usage_file(tmp_path / "Usage 2024-02.csv", "eu,Disks,,2,2024-02-03 00:00:00,g1")
+    usage_file(tmp_path / "Usage of 2023.csv", "eu,Disks,Main,3,2023-02-03 00:00:00,g1")
+    usage_file(tmp_path / "Other.csv", "eu,Disks,Main,9,2023-02-03 00:00:00,g1")
+    rules = [
+        datasets.LabelRule("Usage 2024-*.csv", "Main", "Beta", "Production"),
+        datasets.LabelRule("Usage of 2023.csv", "Main", "Production", "Beta"),
+    ]
+    df = datasets.read_usage(spark, str(tmp_path), rules)
+    assert df.schema.simpleString() == schemas.USAGE.simpleString()
+    got = df.select("subscription", "cost", "resource_group").collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(
+        [
+            ("Beta", Decimal("1.234567"), "g1"),
+            ("Production", None, None),
+            ("Production", Decimal("2.000000"), "g1"),
+            ("Production", Decimal("3.000000"), "g1"),
+        ],
+        key=str,
+    )
+
+
+def test_employee_export_flags_and_missing_columns(spark, tmp_path):
+    export = datasets.EXPORTS["employee"]
+    header = ",".join(reversed([*export.columns, "Extra"]))
+    values = {"Employee": "a b", "Resigned": "X", "LastDay": "2024-01-31", "Include": "1.0"}
+    lines = [
+        ",".join(reversed([*(v.get(c, "") for c in export.columns), "e"]))
+        for v in (values, {"Employee": "c", "Resigned": "x"})
+    ]
+    (tmp_path / "employees.csv").write_text("\n".join([header, *lines]) + "\n")
+    df = datasets.read_export(spark, export, str(tmp_path))
+    assert df.schema.simpleString() == schemas.EMPLOYEE.simpleString()
+    got = df.select("employee", "resigned", "last_day", "include").collect()
+    assert [tuple(r) for r in got] == [
+        ("a b", True, dt.date(2024, 1, 31), 1),
+        ("c", False, None, None),
+    ]
+
+
+def test_every_layout_names_columns_of_its_schema():
+    for name, export in datasets.EXPORTS.items():
+        assert export.dataset == name
+        assert set(export.columns.values()) <= set(export.schema.names)
