@@ -48,7 +48,7 @@ def _rates(s, d):
 
 
 def _latest_period(s, d):
-    return data.rates(s, d).agg(F.max("period")).scalar()
+    return data.rates(s, d, projects=False).agg(F.max("period")).scalar()
 
 
 def _latest_holiday(s, d):

@@ -24,6 +24,12 @@ def as_date(value: AsOf) -> Column:
     return F.lit(value)
 
 
+def as_month(value: AsOf) -> Column:
+    """First day of the month that holds the given day, or is given as 2024-01."""
+    named = isinstance(value, str) and len(value) == len("2024-01")
+    return F.trunc(as_date(f"{value}-01" if named else value), "MM")
+
+
 def as_timestamp(value: AsOf) -> Column:
     """Midnight at the start of the given day, without a zone."""
     return as_date(value).cast("timestamp_ntz")

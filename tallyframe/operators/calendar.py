@@ -1,4 +1,8 @@
-"""Month lists, missing cells and moving means.
+"""Months of a frame, missing cells and moving means.
+
+A published dataset carries its month as the partition column `report_month`.
+Where a frame has that column, month conditions name it too, beside the range
+over the stored date, so that Spark skips the other months' files.
 
 Distinct months and days are bounded by the calendar (12 and 366 a year)
 whatever the table size, which is why a window over them may run in one task.
@@ -11,13 +15,34 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.dates import month_start
-from tallyframe.operators.filters import on_or_after, present
+from tallyframe.functions.dates import AsOf, as_date, as_month, month_key, month_start
+from tallyframe.operators.filters import in_month, on_or_after, present
+
+
+PARTITION = "report_month"
+
+
+def rows_of_month(df: DataFrame, month: AsOf, day: str = "usage_date") -> DataFrame:
+    """Rows of the month that holds the given day (or is given as 2024-01)."""
+    if PARTITION in df.columns:
+        df = df.filter(F.col(PARTITION) == month_key(as_month(month)))
+    return df.filter(in_month(day, month))
+
+
+def rows_since(df: DataFrame, start: AsOf, day: str = "usage_date") -> DataFrame:
+    """Rows on or after a day."""
+    if PARTITION in df.columns:
+        df = df.filter(F.col(PARTITION) >= month_key(as_date(start)))
+    return df.filter(on_or_after(day, start))
 
 
 def newest_months(df: DataFrame, day: str = "usage_date") -> DataFrame:
     """Distinct months, as month starts, with their rank, 1 for the newest."""
-    months = present(df, day).select(month_start(day).alias("month")).distinct()
+    if PARTITION in df.columns:
+        keys = present(df.select(PARTITION), PARTITION).distinct()
+        months = keys.select(F.concat(PARTITION, F.lit("-01")).cast("date").alias("month"))
+    else:
+        months = present(df, day).select(month_start(day).alias("month")).distinct()
     return months.withColumn("position", F.dense_rank().over(Window.orderBy(F.desc("month"))))
 
 
@@ -32,11 +57,11 @@ def last_months(
 ) -> DataFrame:
     """Rows of the newest `count` distinct months, of `months_of` if given.
 
-    One comparison of the stored date with the oldest month kept; no join.
+    One comparison with the oldest month kept; no join.
     """
     source = df if months_of is None else months_of
     kept = newest_months(source, day).filter(F.col("position") <= count)
-    return df.filter(on_or_after(day, kept.agg(F.min("month")).scalar()))
+    return rows_since(df, kept.agg(F.min("month")).scalar(), day)
 
 
 def _zero(df: DataFrame, amount: str) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.dates import AsOf, as_date, as_timestamp, col
+from tallyframe.functions.dates import AsOf, as_month, as_timestamp, col
 from tallyframe.functions.labels import starts_with
 
 
@@ -53,8 +53,7 @@ def in_month(value: Column | str, month: AsOf) -> Column:
 
     A range over the stored column, so the scan can skip other months.
     """
-    day = as_date(f"{month}-01" if isinstance(month, str) and len(month) == 7 else month)
-    start = F.trunc(day, "MM")
+    start = as_month(month)
     after = F.add_months(start, 1)
     stored = col(value)
     return (stored >= start.cast("timestamp_ntz")) & (stored < after.cast("timestamp_ntz"))

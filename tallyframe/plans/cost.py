@@ -27,26 +27,27 @@ from tallyframe.operators.calendar import (
     last_months,
     month_at,
     moving_mean,
+    rows_of_month,
+    rows_since,
 )
-from tallyframe.operators.filters import any_of, chosen_or_all, in_month, on_or_after, present
+from tallyframe.operators.filters import any_of, chosen_or_all, present
 from tallyframe.operators.ranking import order_by_group_total, top_per_group
 from tallyframe.operators.totals import total_by, with_group_total
 
 
 def prepare(usage: DataFrame) -> DataFrame:
-    """Typed usage date, its month key, and the day and month that reports group by."""
+    """Typed usage date, and the day and month that reports group by.
+
+    Months are grouped as dates; their keys are written on the totals.
+    """
     usage = usage.withColumn("usage_date", F.col("usage_date").cast("timestamp_ntz"))
     return usage.withColumns(
-        {
-            "report_month": month_key("usage_date"),
-            "day": F.to_date("usage_date"),
-            "month": month_start("usage_date"),
-        }
+        {"day": F.to_date("usage_date"), "month": month_start("usage_date")}
     )
 
 
 def _keyed(totals: DataFrame) -> DataFrame:
-    """Month starts as month keys; done on the totals, not on every row."""
+    """Month starts as month keys."""
     return totals.withColumn("month", month_key("month")).withColumnRenamed(
         "month", "report_month"
     )
@@ -54,7 +55,7 @@ def _keyed(totals: DataFrame) -> DataFrame:
 
 def daily_total(usage: DataFrame, start: AsOf | None = None) -> DataFrame:
     if start is not None:
-        usage = usage.filter(on_or_after("usage_date", start))
+        usage = rows_since(usage, start)
     return total_by(usage, ["day"], "cost")
 
 
@@ -68,7 +69,7 @@ def daily_by_subscription(
 ) -> DataFrame:
     """One month's cost per day and subscription; position 1 is the newest month."""
     source = usage if months_of is None else months_of
-    month = usage.filter(in_month("usage_date", month_at(source, position)))
+    month = rows_of_month(usage, month_at(source, position))
     return total_by(month, ["day", "subscription"], "cost")
 
 
@@ -94,7 +95,7 @@ def compare_categories(usage: DataFrame, categories: Sequence[str]) -> DataFrame
 
 def resource_groups(usage: DataFrame, month: AsOf) -> DataFrame:
     """Cost per resource group in one month, largest first."""
-    totals = total_by(usage.filter(in_month("usage_date", month)), ["resource_group"], "cost")
+    totals = total_by(rows_of_month(usage, month), ["resource_group"], "cost")
     return totals.orderBy(F.desc("cost"), "resource_group")
 
 
@@ -103,12 +104,12 @@ def resource_group_buckets(
 ) -> DataFrame:
     """Cost per resource group, time bucket and category in one month."""
     start = F.date_trunc(bucket, "usage_date").cast("date")
-    bucketed = usage.filter(in_month("usage_date", month)).withColumn("bucket", start)
+    bucketed = rows_of_month(usage, month).withColumn("bucket", start)
     return total_by(bucketed, ["resource_group", "bucket", "category"], "cost")
 
 
 def categories_by_resource_group(usage: DataFrame, month: AsOf) -> DataFrame:
-    return total_by(usage.filter(in_month("usage_date", month)), ["category", "resource_group"], "cost")
+    return total_by(rows_of_month(usage, month), ["category", "resource_group"], "cost")
 
 
 def _monthly_means(usage: DataFrame) -> DataFrame:

@@ -14,9 +14,7 @@ from tallyframe.operators.totals import total_by
 
 def prepare(sponsor: DataFrame) -> DataFrame:
     sponsor = sponsor.withColumn("date", F.col("date").cast("timestamp_ntz"))
-    return sponsor.withColumns(
-        {"report_month": month_key("date"), "month": month_start("date")}
-    )
+    return sponsor.withColumn("month", month_start("date"))
 
 
 def running_cost(sponsor: DataFrame, key: str) -> DataFrame:

@@ -82,16 +82,18 @@ def sponsor(
     return sponsorship.prepare(lines.select(*columns))
 
 
-def rates(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items as rate card rows."""
-    parts = table(spark, folder, "part").select("p_partkey", "p_type")
-    lines = table(spark, folder, "lineitem").join(
-        parts, F.col("l_partkey") == F.col("p_partkey"), "left"
-    )
+def rates(spark: SparkSession, folder: str, projects: bool = True) -> DataFrame:
+    """Line items as rate card rows; projects (from parts) unless told otherwise."""
+    lines = table(spark, folder, "lineitem")
+    project = []
+    if projects:
+        parts = table(spark, folder, "part").select("p_partkey", "p_type")
+        lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
+        project = [F.when(F.col("p_type") != "PROMO", F.col("p_type")).alias("project")]
     off = F.col("l_linenumber") - 3
     return lines.select(
         F.col("l_suppkey").cast("string").alias("employee"),
-        F.when(F.col("p_type") != "PROMO", F.col("p_type")).alias("project"),
+        *project,
         F.round(F.col("l_tax") * 100).alias("init_rate"),
         F.round(F.col("l_discount") * 10, 1).alias("fte"),
         F.round(F.col("l_tax") * 100).alias("rate"),

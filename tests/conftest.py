@@ -25,3 +25,21 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+FOLDER = os.environ.get("TALLYFRAME_DATA", "/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="session")
+def built(spark):
+    """Registered queries as frames over the given tables, each built once."""
+    from tallyframe.checks import registry
+
+    queries, frames = registry.queries(), {}
+
+    def frame(name):
+        if name not in frames:
+            frames[name] = queries[name](spark, FOLDER)
+        return frames[name]
+
+    return frame

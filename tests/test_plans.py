@@ -26,8 +26,8 @@ def plan_of(df) -> str:
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITING))
-def test_no_python_no_products_no_single_task_windows(spark, name):
-    plan = plan_of(QUERIES[name](spark, FOLDER))
+def test_no_python_no_products_no_single_task_windows(built, name):
+    plan = plan_of(built(name))
     for node in ("Python", "Pandas", "Cartesian", "BroadcastNestedLoop"):
         assert node not in plan
     if name.split("_")[0] not in BOUNDED_WINDOWS:

@@ -7,8 +7,8 @@ import os
 
 import pytest
 from compare import connect, difference
+from conftest import FOLDER
 
-FOLDER = os.environ.get("TALLYFRAME_DATA", "/root/testdata/sf0.001")
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -30,8 +30,8 @@ def duck():
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_matches_sql(spark, duck, name):
-    assert difference(QUERIES[name](spark, FOLDER), duck, SQL[name]) is None
+def test_query_matches_sql(built, duck, name):
+    assert difference(built(name), duck, SQL[name]) is None
 
 
 def test_every_query_has_sql():

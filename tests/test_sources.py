@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe import schemas, standins
+from tallyframe.plans import cost
 from tallyframe.functions import dates
 from tallyframe.sources import datasets, exports, publish, tables
 
@@ -104,15 +105,47 @@ def test_publish_replaces_and_checks_the_schema(spark, tmp_path):
     assert tables.scan(spark, target).count() == 1
 
 
-def test_published_months_prune_and_keep_every_row(spark, tmp_path):
-    df = standins.usage(spark, "/root/testdata/sf0.001", groups=True)
-    df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.USAGE])
+def test_reports_on_published_usage_open_only_their_months(spark, tmp_path):
+    source = standins.usage(spark, "/root/testdata/sf0.001", groups=True)
+    typed = source.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.USAGE])
     target = str(tmp_path / "usage")
-    publish.publish(spark, publish.Publication("usage", lambda s: df, target, "usage_date"))
-    back = tables.scan(spark, target)
-    assert back.count() == df.count()
-    plan = back.filter("report_month = '2000-05'")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(report_month" in plan
+    publish.publish(spark, publish.Publication("usage", lambda s: typed, target, "usage_date"))
+    published = cost.prepare(tables.scan(spark, target))
+    assert published.count() == source.count()
+
+    def same(report):
+        mine, theirs = report(published).collect(), report(source).collect()
+        return sorted(map(str, mine)) == sorted(map(str, theirs))
+
+    def files_read(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        found = []
+
+        def walk(node):
+            if "FileSourceScan" in node.getClass().getSimpleName():
+                found.append(node.metrics().apply("numFiles").value())
+            name = node.getClass().getSimpleName()
+            inner = {"AdaptiveSparkPlanExec": "executedPlan"}.get(name)
+            inner = "plan" if name.endswith("QueryStageExec") else inner
+            if inner:
+                walk(getattr(node, inner)())
+            for i in range(node.children().size()):
+                walk(node.children().apply(i))
+
+        walk(plan)
+        return found
+
+    months = source.select("month").distinct().count()
+    for report, opened in (
+        (lambda df: cost.resource_groups(df, "2000-05"), 1),
+        (lambda df: cost.daily_total(df, "2001-06-15"), 3),
+        (lambda df: cost.daily_by_subscription(df, 2), 1),
+        (lambda df: cost.top_categories(df, months=4), 4),
+        (cost.monthly_total, months),
+    ):
+        assert same(report)
+        assert files_read(report(published))[0] == opened
 
 
 def test_table_scan_by_name_and_columns(spark):
