@@ -18,8 +18,16 @@ PRODUCT_SCALE = 4  # hours x rate, fractions of a full-time post
 
 
 def whole_units(value: Column | str, scale: int = CENTS) -> Column:
-    """A double in units of its last decimal; rint, as round goes through decimals."""
-    return F.rint(col(value) * 10**scale).cast("bigint")
+    """A double in units of its last decimal, null if it is not a number.
+
+    rint stays in generated arithmetic, where round goes through decimals.
+    """
+    return not_nan(F.rint(col(value) * 10**scale)).cast("bigint")
+
+
+def not_nan(value: Column | str) -> Column:
+    """A double, null if it is not a number."""
+    return F.nanvl(col(value).cast("double"), F.lit(None).cast("double"))
 
 
 def exact_sum(value: Column | str, scale: int = CENTS) -> Column:
@@ -44,8 +52,8 @@ def amount_sum(df: DataFrame, name: str) -> Column:
 
 def exact_mean(value: Column | str, scale: int = CENTS) -> Column:
     """Mean of the values present, null when there is none."""
-    total = F.sum(whole_units(value, scale)) / F.lit(10**scale)
-    return F.try_divide(total, F.count(col(value)))
+    units = whole_units(value, scale)
+    return F.try_divide(F.sum(units) / F.lit(10**scale), F.count(units))
 
 
 def fine_sum(value: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyframe.functions.amounts import PRODUCT_SCALE, whole_units
+from tallyframe.functions.amounts import not_nan
 
 
 def worked_minutes() -> Column:
@@ -27,7 +27,8 @@ def billable() -> Column:
 
 
 def lost_hours() -> Column:
-    return F.col("target") - F.col("billed")
+    """Null where either part is missing, so that a missing one is never a shortfall."""
+    return not_nan(F.col("target") - F.col("billed"))
 
 
 def lost_amount() -> Column:
@@ -43,7 +44,3 @@ def shortfall_amount() -> Column:
     return F.when(F.col("indiv_eligibility") == 1, F.lit(0.0)).otherwise(
         F.col("shortfall") * F.col("init_rate")
     )
-
-
-def product_units(value: Column | str) -> Column:
-    return whole_units(value, PRODUCT_SCALE)

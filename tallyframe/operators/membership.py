@@ -1,8 +1,9 @@
 """Joins that test membership: interns, other groups, home group.
 
 Hours are totalled per person before any join, so a person with a third of all
-log lines enters the join as a few rows. Sides are not forced to broadcast;
-Spark does that when their size allows and sorts and splits otherwise.
+log lines enters the join as a few rows; give these functions totals, not log
+lines. Sides are not forced to broadcast; Spark does that when their size
+allows and sorts otherwise.
 """
 
 from __future__ import annotations

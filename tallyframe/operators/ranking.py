@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.amounts import fine_sum
+from tallyframe.operators.lookup import join_lookup
 
 
 def top_per_group(
@@ -25,11 +26,10 @@ def top_per_group(
 def order_by_group_total(df: DataFrame, group: str, amount: str, *then: str) -> DataFrame:
     """Rows ordered by their group's total, largest first.
 
-    `df` should already be grouped; totals are joined back, and Spark
-    broadcasts them where they are small and splits skewed groups otherwise.
+    `df` should already be grouped; the totals are joined back.
     """
     totals = df.groupBy(group).agg(fine_sum(amount).alias("group_total"))
-    return df.join(totals, group).orderBy(F.desc("group_total"), group, *then)
+    return join_lookup(df, totals, group).orderBy(F.desc("group_total"), group, *then)
 
 
 def line_numbers(

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.operators.lookup import join_lookup
+
 
 def read_csv(
     spark: SparkSession,
@@ -43,7 +45,8 @@ def read_after_preamble(
     Large files stay splittable. Only a file's first block holds its first
     lines, and row ids rise along a task's input, so a line belongs to the
     preamble if its id lies within `skip` of the lowest id of its file's first
-    block. That lowest id is one row per file. Line breaks inside quoted
+    block. That lowest id is one row per file, looked up so that a file with
+    very many lines is spread over tasks. Line breaks inside quoted
     fields are not supported.
     """
     reader = spark.read.option("pathGlobFilter", name_pattern) if name_pattern else spark.read
@@ -67,7 +70,8 @@ def read_after_preamble(
     )
     layout = ", ".join(f"`{name.strip()}` STRING" for name in names)
     parsed = F.from_csv("value", layout, {"sep": sep})
-    rows = lines.join(first, "file").filter(is_data).select(parsed.alias("row")).select("row.*")
+    placed = join_lookup(lines, first, "file", spread_by=["id"])
+    rows = placed.filter(is_data).select(parsed.alias("row")).select("row.*")
     return rows.select(*[f"`{name}`" for name in columns]) if columns else rows
 
 

@@ -360,6 +360,19 @@ def test_worker_types_are_disjoint_and_cover_everyone(spark):
     assert sorted(rows(workforce.interns(eod, employees))) == [("i",)]
 
 
+def test_not_a_number_counts_as_missing(spark):
+    nan = float("nan")
+    data = [("e", "p", 2.0, fte, 2.0, stamp("2024-01-01"), "r", "l", target, billed, 0)
+            for fte, target, billed in ((nan, nan, 8.0), (0.5, 10.0, nan), (0.25, 10.0, 8.0))]
+    rates = spark.createDataFrame(data, schemas.RATES)
+    lost = utilisation.lost(rates, "20240101", "20240131")
+    assert set(rows(utilisation.per_project(lost))) == {(None, True, 4.0), ("p", False, 4.0)}
+    posts = revenue.posts(revenue.prepare(rates, "2024-01-01"), ["p"])
+    assert {r["project"]: r["fte"] for r in posts.collect()} == {"p": 0.75, "Total": 0.75}
+    projected = revenue.projected(revenue.prepare(rates, "2024-01-01"), "2024-01-01")
+    assert [r["billable"] for r in projected.collect()] == [40.0]
+
+
 def test_shares_add_to_one(spark):
     employees, eod = people_frames(spark)
     people = workforce.classified(eod, employees, "X")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyframe import schemas, standins
 from tallyframe.checks.base import ACCOUNTS, HOME_PREFIX
-from tallyframe.operators.ranking import top_per_group
+from tallyframe.operators.lookup import join_lookup
+from tallyframe.operators.ranking import order_by_group_total, top_per_group
 from tallyframe.operators.totals import total_by
 from tallyframe.plans import cost, workforce
 
@@ -110,6 +111,34 @@ def test_top_rows_of_a_hot_group(spark):
     assert {(r["grp"], r["name"], r["position"]) for r in top.collect()} == expected
 
 
+def test_lookup_join_spreads_a_hot_group(spark):
+    data = [("hot" if i % 3 else f"c{i % 50}", i, float(i)) for i in range(60_000)]
+    cells = spark.createDataFrame(data, "grp string, id int, cost double")
+    totals = cells.groupBy("grp").agg(F.sum("cost").alias("total"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        joined = join_lookup(cells, totals, "grp")
+        per_task = joined.withColumn("task", F.spark_partition_id()).groupBy("task").count()
+        largest = max(r["count"] for r in per_task.collect())
+        ordered = order_by_group_total(cells, "grp", "cost", "id")
+        got = [(r["grp"], r["id"]) for r in ordered.collect()]
+    finally:
+        for name, value in old.items():
+            spark.conf.set(name, value)
+    # Two thirds of the rows are hot; unsalted, one task would get them all.
+    assert largest < len(data) / 2
+    expected = defaultdict(float)
+    for group, _, value in data:
+        expected[group] += value
+    assert got == [r[:2] for r in sorted(data, key=lambda r: (-expected[r[0]], r[0], r[1]))]
+
+
 def test_hot_month_is_written_by_several_tasks(spark, tmp_path):
     from tallyframe.sources import publish
 
