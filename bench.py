@@ -66,7 +66,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
     spark = session(cpus)
-    queries = registry.queries()
+    queries = registry.reports()
     timings = {}
     for name in HEADLINE:
         seconds(queries[name], spark, folder)

@@ -121,7 +121,9 @@ CHECKS = {
         ),
     ),
     "j6_wide_hours_all": Check(
-        lambda s, d: line_numbers(workforce.wide_hours(lines(s, d), ACCOUNTS), ["employee_name"]),
+        lambda s, d: line_numbers(
+            workforce.wide_hours(lines(s, d), ACCOUNTS), ["employee_name"], grouped=True
+        ),
         over(
             "eod employee",
             """SELECT * EXCLUDE (worker_type), row_number() OVER (ORDER BY employee_name) AS line_no

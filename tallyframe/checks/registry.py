@@ -26,6 +26,11 @@ def _run(query: Query) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: plain(query(spark, folder))
 
 
+def reports() -> dict[str, Query]:
+    """The queries with results in their own types."""
+    return {name: check.run for name, check in _registered().items()}
+
+
 def queries() -> dict[str, Query]:
     return {name: _run(check.run) for name, check in _registered().items()}
 

@@ -38,6 +38,7 @@ def line_numbers(
     within: Sequence[str] = (),
     name: str = "line_no",
     ranges: int = 256,
+    grouped: bool = False,
 ) -> DataFrame:
     """Number the rows 1, 2, 3 .. in ascending order, anew in each subset.
 
@@ -47,11 +48,18 @@ def line_numbers(
     sample is the keys with the smallest hashes: its size is fixed, and any
     sample gives the same numbers. End `order` with a unique column, so that
     one repeated key cannot fill a range.
+
+    The rows are read three times: for the sample, the counts and the listing.
+    A plain scan then reads just the sort key for the first two. With
+    `grouped`, for rows that come out of a shuffle, all three read the same
+    columns, so that Spark runs what is below that shuffle once.
     """
     if ranges < 2 or ranges & (ranges - 1):
         raise ValueError("ranges must be a power of two")
     key = F.struct(*[F.col(c) for c in order])
-    sample = df.select(key.alias("key")).orderBy(F.xxhash64("key"), "key").limit(ranges - 1)
+    mark = F.xxhash64(*df.columns) if grouped else F.xxhash64(key)
+    marked = df.select(key.alias("key"), mark.alias("mark"))
+    sample = marked.orderBy("mark", "key").limit(ranges - 1)
     splits = sample.agg(F.sort_array(F.collect_list("key"))).scalar()
 
     # Binary search for the number of splits below the key, one step per column.
@@ -67,7 +75,9 @@ def line_numbers(
     earlier = Window.partitionBy(*within).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    counts = ranged.groupBy(*within, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    # Counting in two halves of the hash keeps its columns in the plan.
+    rows = F.count_if(mark < 0) + F.count_if(mark >= 0) if grouped else F.count(F.lit(1))
+    counts = ranged.groupBy(*within, "_range").agg(rows.alias("_rows"))
     shift = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
 
     # A range starts with a row that counts for all ranges before it; every

@@ -184,7 +184,7 @@ def wide_hours_by_type(
 ) -> DataFrame:
     """The wide table with worker type and line numbers that restart per type."""
     wide = classify(wide_hours(lines, accounts), employees, home_prefix)
-    return line_numbers(wide, ["employee_name"], ["worker_type"])
+    return line_numbers(wide, ["employee_name"], ["worker_type"], grouped=True)
 
 
 def only(wide: DataFrame, worker_type: int) -> DataFrame:

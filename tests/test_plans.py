@@ -71,6 +71,7 @@ def test_totals_combine_before_the_shuffle(spark):
         "w6_daily_cost_by_largest_category",
         "w5_share_of_hours",
         "a38_revenue_split",
+        "j6_wide_hours_all",
     ],
 )
 def test_one_scan_feeds_all_branches(spark, name):
@@ -79,6 +80,12 @@ def test_one_scan_feeds_all_branches(spark, name):
     assert "ReusedExchange" in plan or "ReusedSubquery" in plan or "Subquery" not in plan
 
 
+def test_numbered_hours_scan_the_log_once(spark):
+    plan = final_plan(QUERIES["j6_wide_hours_by_type"](spark, FOLDER))
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert sum("ts#" in line for line in scans) == 1
+
+
 def test_last_months_needs_no_join(spark):
     plan = plan_of(last_months(standins.usage(spark, FOLDER), 3))
     assert "Join" not in plan
