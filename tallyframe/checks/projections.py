@@ -295,7 +295,10 @@ CHECKS = {
             name="Beta",
             floor=250000.0,
         ),
-        over("usage", f"SELECT {USAGE_SQL} FROM usage WHERE subscription = 'Beta' AND cost >= 250000"),
+        over(
+            "usage",
+            f"SELECT {USAGE_SQL} FROM usage WHERE subscription = 'Beta' AND cost >= 250000",
+        ),
     ),
     "p28_cascading_facets": Check(
         lambda s, d: filters.facets(
@@ -306,7 +309,8 @@ CHECKS = {
         over(
             "employee",
             """SELECT employee, company, grp2 FROM employee
-            WHERE company IN ('NATION_10', 'NATION_5', 'NATION_12', 'NATION_3') AND grp2 IN ('AFRICA', 'ASIA')""",
+            WHERE company IN ('NATION_10', 'NATION_5', 'NATION_12', 'NATION_3')
+              AND grp2 IN ('AFRICA', 'ASIA')""",
         ),
     ),
     "p28_employee_listing": Check(

@@ -21,8 +21,6 @@ from tallyframe.operators.filters import (
 )
 from tallyframe.operators.membership import (
     HOME,
-    INTERN,
-    OTHER_GROUP,
     classify,
     in_named_list,
     not_in,

@@ -100,7 +100,8 @@ def test_month_bounds(spark, day, left, first, last):
 
 
 def test_unreadable_dates_become_null(spark):
-    df = spark.createDataFrame([("2024-13-01",), ("Jan 5, 2024",), ("2024-01-05 10:30:00",)], "t string")
+    texts = [("2024-13-01",), ("Jan 5, 2024",), ("2024-01-05 10:30:00",)]
+    df = spark.createDataFrame(texts, "t string")
     assert [r[0] for r in df.select(dates.to_timestamp("t")).collect()] == [
         None, None, stamp("2024-01-05", "10:30"),
     ]
@@ -171,7 +172,8 @@ def test_known_amounts_keep_other_owners_and_nulls(spark):
 
 
 def test_recodes_send_null_to_the_other_label(spark):
-    df = spark.createDataFrame([("old", "x"), ("new", "x"), ("new", None), ("else", "x")], "s string, v string")
+    values = [("old", "x"), ("new", "x"), ("new", None), ("else", "x")]
+    df = spark.createDataFrame(values, "s string, v string")
     rules = {"new": ("x", "A", "B"), "old": ("x", "B", "A")}
     got = df.select(labels.two_way_by_source("v", "s", rules)).collect()
     assert [r[0] for r in got] == ["B", "A", "B", "x"]
@@ -315,7 +317,8 @@ def test_no_row_for_a_month_without_revenue(spark):
     data = [("e", "p", 2.0, 1.0, 2.0, stamp("2024-01-01"), "r", "l", 10.0, 8.0, 0)]
     rates = revenue.prepare(spark.createDataFrame(data, schemas.RATES), "2024-01-01")
     assert revenue.current_month(rates, "2024-05-20").count() == 0
-    assert rows(revenue.current_month(rates, "2024-01-20")) == [(stamp("2024-01-01"), 20.0, "January 2024")]
+    january = (stamp("2024-01-01"), 20.0, "January 2024")
+    assert rows(revenue.current_month(rates, "2024-01-20")) == [january]
 
 
 def test_count_before_and_rows_after_the_eligibility_mode(spark):

@@ -81,7 +81,8 @@ def test_union_fills_missing_columns_with_null(spark):
 
 @pytest.mark.parametrize("sep", [",", "|"])
 def test_delimited_round_trip_is_the_same_bag(spark, tmp_path, sep):
-    data = [("a,b", dt.datetime(2024, 1, 1, 9, 30, 0, 123456), 'q"x|', 1, 2), ("a,b", None, None, None, 0)] * 2
+    at = dt.datetime(2024, 1, 1, 9, 30, 0, 123456)
+    data = [("a,b", at, 'q"x|', 1, 2), ("a,b", None, None, None, 0)] * 2
     df = spark.createDataFrame(data, schemas.EOD)
     path = str(tmp_path / "out")
     publish.write_delimited(df, path, sep)
