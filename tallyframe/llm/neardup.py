@@ -12,8 +12,10 @@ Documents with equal sets are one class from the start. In the first round each
 class of a key meets one representative of the key, and links are confirmed on
 the full sets; so a group of copies costs as many pairs as it has members. In the
 second round the classes of a key that are not in their representative's
-component meet the others of the key, outside their own component. A
-pair that is left out lies inside one component, so components are whole.
+component meet those outside their own component with which they have one of the
+rarest shingles in common, as every linked pair does; signatures and full sets
+decide again. A pair that is left out lies inside one component or cannot be
+linked, so components are whole.
 
 Null, empty and word-less texts have an empty set and link with nothing; texts of
 fewer words than a shingle are one shingle. Rows without an id link with nothing.
@@ -187,31 +189,61 @@ def links(docs: DataFrame, classes: DataFrame, similarity_percent: int = SIMILAR
     sets = stored(_with_sets(docs, nodes, 2 * pairs.count()))
     found = stored(_confirmed(pairs, sets, similarity_percent))
     label = components(found)
-    more = _second_round(shared, label)
+    crossing = stored(_crossing(shared, label))
+    nodes = crossing.select("node").distinct()
+    sets = stored(_with_sets(docs, nodes, nodes.count()))
+    more = _second_round(crossing, _rarest(sets, similarity_percent), similarity_percent)
     again = stored(_under_distance(more, classes, similarity_percent).join(pairs, ["a", "b"], "left_anti"))
-    count = again.count()
-    if count:
-        nodes = again.select(F.col("a").alias("node")).union(again.select("b")).distinct()
-        sets = stored(_with_sets(docs, nodes, 2 * count))
-        extra = _confirmed(again, sets, similarity_percent)
-        label = components(found.union(extra))
-    return label
+    return components(found.union(_confirmed(again, sets, similarity_percent)))
 
 
-def _second_round(shared: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs of a key across components: those outside the representative's with all others."""
+def _crossing(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, node, own, outside): the keys whose classes are in two components or more.
+
+    ``own`` is the component of the node, ``outside`` tells that it is not the representative's.
+    """
     named = label.select("node", "component")
     own = shared.join(named, "node", "left").select(
         "key", "node", "first", F.coalesce("component", "node").alias("own")
     )
     heads = named.select(F.col("node").alias("first"), F.col("component").alias("head"))
-    own = own.join(heads, "first", "left").withColumn("head", F.coalesce("head", "first"))
-    own = stored(own.select("key", "node", "own", (F.col("own") != F.col("head")).alias("outside")))
-    outside = own.where("outside").select("key", F.col("node").alias("a"), F.col("own").alias("own_a"))
-    others = own.select("key", F.col("node").alias("b"), F.col("own").alias("own_b"), F.col("outside").alias("also"))
-    # two outsiders meet once
-    meet = (F.col("own_a") != F.col("own_b")) & (~F.col("also") | (F.col("a") < F.col("b")))
-    return outside.join(others, "key").where(meet).select("a", "b")
+    own = own.join(heads, "first", "left").withColumn("outside", F.col("own") != F.coalesce("head", "first"))
+    own = stored(own.select("key", "node", "own", "outside"))
+    return own.join(own.where("outside").select("key").distinct(), "key", "left_semi")
+
+
+def _rarest(sets: DataFrame, similarity_percent: int) -> DataFrame:
+    """(hash, node, place, n): of each set, the rarest shingles that one linked set at least must have too.
+
+    Shingles are ordered by the number of sets that have them, then by hash; ``place`` counts from 0.
+    """
+    each = sets.select("node", F.explode("hashes").alias("hash"))
+    counts = each.groupBy("hash").agg(F.count("*").alias("held"))
+    ordered = each.join(counts, "hash").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "hash"))).alias("all"))
+    n = F.size("all")
+    first = F.slice("all", F.lit(1), n - F.ceil(n * similarity_percent / 100).cast("int") + 1)
+    placed = ordered.select("node", n.alias("n"), F.posexplode(first).alias("place", "x"))
+    return placed.select(F.col("x.hash").alias("hash"), "node", "place", "n")
+
+
+def _second_round(crossing: DataFrame, rarest: DataFrame, similarity_percent: int) -> DataFrame:
+    """Pairs across components that can be linked, of classes outside a representative's with all others.
+
+    A linked pair shares so many shingles that one of them is among the rarest of both. Copies with edits of
+    their own have rare shingles that nobody shares, so those that stand alone make few pairs.
+    """
+    nodes = crossing.groupBy("node").agg(F.first("own").alias("own"), F.bool_or("outside").alias("open"))
+    every = rarest.join(nodes, "node")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("place", "n", "own", "open")]
+    a = every.where("open").select("hash", F.col("node").alias("a"), *side("a"))
+    b = every.select("hash", F.col("node").alias("b"), *side("b"))
+    both = F.col("n_a") + F.col("n_b")
+    shared = F.ceil(both * similarity_percent / (100 + similarity_percent))
+    near = (F.col("place_a") <= F.col("n_a") - shared) & (F.col("place_b") <= F.col("n_b") - shared)
+    # two open ones meet once
+    meet = (F.col("own_a") != F.col("own_b")) & (~F.col("open_b") | (F.col("a") < F.col("b")))
+    fit = _sizes_allow(F.col("n_a"), F.col("n_b"), similarity_percent)
+    return a.join(b, "hash").where(meet & fit & near).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, similarity_percent: int = SIMILARITY_PERCENT) -> DataFrame:
