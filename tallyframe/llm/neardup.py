@@ -178,8 +178,17 @@ def _under_distance(pairs: DataFrame, classes: DataFrame, similarity_percent: in
     return both.where(_sizes_allow(F.col("n_a"), F.col("n_b"), similarity_percent) & (differ <= DISTANCE)).select("a", "b").distinct()
 
 
-def links(docs: DataFrame, classes: DataFrame, similarity_percent: int = SIMILARITY_PERCENT) -> DataFrame:
-    """(node, component) of the classes that are linked with another one."""
+def _same_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): classes that hold rows of one id; usually none."""
+    ids = rows.where("doc_id is not null").join(classes.select("print", "node"), "print").select("doc_id", "node")
+    ends = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last"))
+    return ids.join(ends.where("a <> last"), "doc_id").select("a", F.col("node").alias("b")).distinct()
+
+
+def linked(
+    docs: DataFrame, classes: DataFrame, same: DataFrame, similarity_percent: int = SIMILARITY_PERCENT
+) -> DataFrame:
+    """(node, component) of the classes that are linked with another one, or the ``same`` document (a, b)."""
     keys = stored(keys_of(classes))
     firsts = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
     shared = stored(keys.join(firsts.where("first <> last").select("key", "first"), "key"))
@@ -187,7 +196,7 @@ def links(docs: DataFrame, classes: DataFrame, similarity_percent: int = SIMILAR
     pairs = stored(_under_distance(starry, classes, similarity_percent))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = stored(_with_sets(docs, nodes, 2 * pairs.count()))
-    found = stored(_confirmed(pairs, sets, similarity_percent))
+    found = stored(_confirmed(pairs, sets, similarity_percent).union(same))
     label = components(found)
     crossing = stored(_crossing(shared, label))
     nodes = crossing.select("node").distinct()
@@ -256,7 +265,7 @@ def near_duplicates(docs: DataFrame, similarity_percent: int = SIMILARITY_PERCEN
         .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("symbols").alias("symbols"))
     )
     classes = stored(classes)
-    label = links(docs, classes, similarity_percent)
+    label = linked(docs, classes, _same_id(rows, classes), similarity_percent)
     named = classes.select("print", "node").join(label, "node", "left")
     named = named.select("print", F.coalesce("component", "node").alias("component"))
     out = rows.join(named, "print", "left").withColumn(
