@@ -130,6 +130,14 @@ CHECKS = {
     "a5_cost_per_category": _usage_by(
         "category", lambda s, d: cost.category_total(data.usage(s, d))
     ),
+    "a5_cost_below_a_cent": Check(
+        lambda s, d: cost.category_total(data.usage(s, d).withColumn("cost", F.col("cost") * 0.0001)),
+        over(
+            "usage",
+            """SELECT category, CAST(sum(CAST(CAST(cost AS DECIMAL(18, 2)) * 0.0001 AS DECIMAL(18, 6)))
+              AS DOUBLE) AS cost FROM usage GROUP BY category""",
+        ),
+    ),
     "a6_compare_categories": _usage_by(
         "subscription, category, report_month",
         lambda s, d: cost.compare_categories(data.usage(s, d), CATEGORIES),

@@ -26,7 +26,8 @@ USAGE_SQL = """
       resource_group, CAST(cost AS DOUBLE) AS cost FROM usage"""
 PREAMBLE = ["Usage report", '"All rights, reserved"']
 EOD_SQL = """
-    SELECT employee_name, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, account, hours, minutes
+    SELECT employee_name, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, account,
+      CAST(hours AS DOUBLE) AS hours, CAST(minutes AS DOUBLE) AS minutes
     FROM eod"""
 
 

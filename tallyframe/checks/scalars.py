@@ -83,6 +83,12 @@ CHECKS = {
         ),
         over("eod", "SELECT employee_name, account, total_minutes / 60 AS total_hrs FROM eod"),
     ),
+    "f11_fractional_hours": Check(
+        lambda s, d: data.eod(s, d)
+        .withColumns({"hours": F.col("hours") + 0.5, "minutes": F.col("minutes") + 0.5})
+        .select("employee_name", "account", work.worked_hours().alias("total_hrs")),
+        over("eod", "SELECT employee_name, account, CAST(total_minutes + 30.5 AS DOUBLE) / 60 AS total_hrs FROM eod"),
+    ),
     "f12_billable_and_lost": Check(
         lambda s, d: revenue.prepare(data.rates(s, d), RATES_START).select(
             "employee", "period", "billable", "lost_hours", "lost_amount"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe import standins as data
 from tallyframe.checks.aggregates import CELLS, TO_DATE
-from tallyframe.checks.base import ACCOUNTS, CATEGORIES, MONTH, Check
+from tallyframe.checks.base import ACCOUNTS, MONTH, Check
 from tallyframe.checks.joins import LINES, WIDE, lines
 from tallyframe.checks.projections import OPEN, SHORT_COLUMNS, SHORT_SQL
 from tallyframe.checks.views import over
@@ -309,13 +309,11 @@ CHECKS = {
     ),
     "u2_distinct": Check(
         lambda s, d: data.usage(s, d, groups=True)
-        .filter(filters.any_of("category", CATEGORIES))
         .select("category", "resource_group")
         .distinct(),
         over(
             "usage",
-            """SELECT DISTINCT category, resource_group FROM usage
-            WHERE category IN ('1-URGENT', '2-HIGH', '5-LOW')""",
+            "SELECT DISTINCT category, resource_group FROM usage",
         ),
     ),
 }

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.dates import col
+from tallyframe.schemas import COST
 
 CENTS = 2
 PRODUCT_SCALE = 4  # hours x rate, fractions of a full-time post
@@ -38,12 +39,13 @@ def exact_sum(value: Column | str, scale: int = CENTS) -> Column:
 def amount_sum(df: DataFrame, name: str) -> Column:
     """Sum of a stored amount as a double, exact at the column's own scale.
 
-    Decimals finer than a cent use Spark's decimal sum, since their units could
-    outgrow a long; everything else adds cents.
+    Other numbers count at the six decimals of a cost. Amounts finer than a cent
+    use Spark's decimal sum, since their units could outgrow a long; decimals of
+    two places add cents.
     """
     kind = df.schema[name].dataType
     if not isinstance(kind, T.DecimalType):
-        return exact_sum(name)
+        return F.coalesce(F.sum(not_nan(name).try_cast(COST)), F.lit(0)).cast("double")
     if kind.scale > CENTS:
         return F.coalesce(F.sum(name), F.lit(0)).cast("double")
     cents = F.sum((F.col(name) * 10**CENTS).cast("bigint"))

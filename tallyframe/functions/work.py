@@ -6,20 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyframe.functions.amounts import not_nan
+from tallyframe.schemas import HOURS
 
 
 def worked_minutes() -> Column:
-    """Minutes of one log line; null when either part is null."""
-    return (F.col("hours") * 60 + F.col("minutes")).cast("bigint")
+    """Minutes of one log line, fractions kept; null when either part is null."""
+    return (F.col("hours") * 60 + F.col("minutes")).try_cast(HOURS)
 
 
 def worked_hours() -> Column:
-    return worked_minutes() / F.lit(60)
+    return worked_minutes().cast("double") / F.lit(60)
 
 
 def hours_total() -> Column:
-    """Hours of a group, added as whole minutes."""
-    return F.coalesce(F.sum(worked_minutes()), F.lit(0)) / F.lit(60)
+    """Hours of a group, added as decimal minutes."""
+    return F.coalesce(F.sum(worked_minutes()), F.lit(0)).cast("double") / F.lit(60)
 
 
 def billable() -> Column:

@@ -28,8 +28,11 @@ def order_by_group_total(df: DataFrame, group: str, amount: str, *then: str) ->
 
     `df` should already be grouped; the totals are joined back.
     """
-    totals = df.groupBy(group).agg(fine_sum(amount).alias("group_total"))
-    return join_lookup(df, totals, group).orderBy(F.desc("group_total"), group, *then)
+    # the key that is joined is never null, so that the null group stays
+    key = F.struct(F.col(group))
+    totals = df.groupBy(key.alias("_group")).agg(fine_sum(amount).alias("group_total"))
+    joined = join_lookup(df.withColumn("_group", key), totals, "_group").drop("_group")
+    return joined.orderBy(F.desc("group_total"), group, *then)
 
 
 def line_numbers(

@@ -75,7 +75,7 @@ def _person_minutes(lines: DataFrame, *keys: str) -> DataFrame:
 
 
 def _hours(minutes: Column) -> Column:
-    return minutes / F.lit(60)
+    return minutes.cast("double") / F.lit(60)
 
 
 def classified(lines: DataFrame, employees: DataFrame, home_prefix: str) -> DataFrame:
@@ -106,7 +106,7 @@ def hours_per_person(people: DataFrame) -> DataFrame:
 
 def hours_by_type(people: DataFrame, names: Sequence[str]) -> DataFrame:
     """Hours and their share per worker type."""
-    totals = people.groupBy("worker_type").agg(F.sum("minutes").alias("minutes"))
+    totals = people.groupBy("worker_type").agg(F.sum("minutes").cast("double").alias("minutes"))
     named = share_of_total(totals, "minutes").withColumn(
         "type_name", worker_type_name("worker_type", names)
     )
@@ -124,7 +124,7 @@ def heads_by_type(people: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def account_share(lines: DataFrame) -> DataFrame:
     """Each account's part of all hours."""
-    total = F.coalesce(F.sum(worked_minutes()), F.lit(0)).alias("minutes")
+    total = F.coalesce(F.sum(worked_minutes()), F.lit(0)).cast("double").alias("minutes")
     totals = share_of_total(aggregate_by(lines, ["account"], total), "minutes")
     return totals.select("account", _hours(F.col("minutes")).alias("total_hrs"), "share")
 
@@ -174,7 +174,7 @@ def wide_hours(lines: DataFrame, accounts: Sequence[str]) -> DataFrame:
     """One row per employee, accounts as columns; no hours gives null."""
     named = present(lines, "employee_name", "account")
     pivoted = named.groupBy("employee_name").pivot("account", list(accounts))
-    return pivoted.agg(F.sum(worked_minutes()) / F.lit(60))
+    return pivoted.agg(_hours(F.sum(worked_minutes())))
 
 
 def wide_hours_by_type(

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 COST = T.DecimalType(18, 6)
 MONEY = T.DecimalType(18, 2)
+HOURS = T.DecimalType(18, 6)  # a log line may hold 7.5 hours
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
@@ -75,7 +76,7 @@ EMPLOYEE = _struct(
     billed_project=_text,
     activities=_text,
 )
-EOD = _struct(employee_name=_text, date=_stamp, account=_text, hours=_int, minutes=_int)
+EOD = _struct(employee_name=_text, date=_stamp, account=_text, hours=HOURS, minutes=HOURS)
 
 DATASETS = {
     "usage": USAGE,

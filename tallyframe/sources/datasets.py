@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tallyframe.functions.dates import to_timestamp
 from tallyframe.functions.labels import flag, two_way
 from tallyframe.schemas import DATASETS
-from tallyframe.sources.exports import read_after_preamble, union_exports
+from tallyframe.sources.exports import read_after_preamble, read_by_header, union_exports
 
 
 @dataclass(frozen=True)
@@ -129,7 +129,11 @@ EXPORTS = {
 
 
 def read_export(
-    spark: SparkSession, export: Export, path: str | list[str], name_pattern: str | None = None
+    spark: SparkSession,
+    export: Export,
+    path: str | list[str],
+    name_pattern: str | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
     """The export files under a path as the dataset's schema.
 
@@ -141,15 +145,49 @@ def read_export(
             spark, path, export.skip, list(export.columns), export.sep, name_pattern
         )
     else:
-        reader = spark.read.option("header", True).option("sep", export.sep)
-        if name_pattern:
-            reader = reader.option("pathGlobFilter", name_pattern)
-        raw = reader.csv(path)
+        raw = read_by_header(spark, path, export.sep, name_pattern, multiline)
     # All at once: a new name may equal another column's old one.
-    named = raw.select(*[F.col(f"`{old}`").alias(new) for old, new in export.columns.items()])
+    held = set(raw.columns)
+    named = raw.select(
+        *[(F.col(f"`{old}`") if old in held else F.lit(None).cast("string")).alias(new) for old, new in export.columns.items()]
+    )
     return named.select(*[_typed(named, export, column) for column in export.schema])
 
 
+def rejected(
+    spark: SparkSession,
+    export: Export,
+    path: str | list[str],
+    name_pattern: str | None = None,
+    multiline: bool = False,
+) -> DataFrame:
+    """One row: per column, how many values are present in the files but not readable as its type."""
+    if export.skip:
+        raw = read_after_preamble(spark, path, export.skip, list(export.columns), export.sep, name_pattern)
+    else:
+        raw = read_by_header(spark, path, export.sep, name_pattern, multiline)
+    held = set(raw.columns)
+    names = {new: old for old, new in export.columns.items() if old in held}
+    named = raw.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])
+    kinds = [c for c in export.schema if c.name in names and not isinstance(c.dataType, T.BooleanType)]
+    return named.agg(
+        *[
+            F.count_if((F.trim(c.name) != "") & _typed(named, export, c).isNull()).alias(c.name)
+            for c in kinds
+        ]
+    )
+
+
+def read_strictly(
+    spark: SparkSession, export: Export, path: str | list[str], name_pattern: str | None = None
+) -> DataFrame:
+    """`read_export`, but a value that is present and not readable fails the read."""
+    counts = rejected(spark, export, path, name_pattern).first().asDict()
+    if bad := {name: n for name, n in counts.items() if n}:
+        raise ValueError(f"unreadable values by column: {bad}")
+    return read_export(spark, export, path, name_pattern)
+
+
 def _typed(df: DataFrame, export: Export, column: T.StructField) -> Column:
     kind = column.dataType
     if column.name not in df.columns:
@@ -159,7 +197,8 @@ def _typed(df: DataFrame, export: Export, column: T.StructField) -> Column:
     elif isinstance(kind, T.BooleanType):
         value = flag(column.name, export.flag_mark)
     elif isinstance(kind, T.IntegerType):
-        value = F.col(column.name).try_cast("double").try_cast(kind)
+        number = F.col(column.name).try_cast("double")
+        value = F.when(number == F.floor(number), number.try_cast(kind))
     else:
         value = F.col(column.name).try_cast(kind)
     return value.alias(column.name)

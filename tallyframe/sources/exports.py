@@ -12,6 +12,31 @@ from pyspark.sql import types as T
 from tallyframe.operators.lookup import join_lookup
 
 
+#: A quote within a quoted field is written twice.
+DIALECT = {"quote": '"', "escape": '"'}
+
+
+def read_by_header(
+    spark: SparkSession,
+    path: str | list[str],
+    sep: str = ",",
+    name_pattern: str | None = None,
+    multiline: bool = False,
+) -> DataFrame:
+    """Files with a header line as text columns, found by name in each file.
+
+    Files with the same header are read together; a column that some files lack
+    is null there. Reading the headers takes one small job per file.
+    """
+    reader = spark.read.option("pathGlobFilter", name_pattern) if name_pattern else spark.read
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(reader.text(path).inputFiles()):
+        names = spark.read.options(header=True, sep=sep, **DIALECT).csv(file).columns
+        alike.setdefault(tuple(names), []).append(file)
+    options = {"header": True, "sep": sep, "multiLine": multiline, **DIALECT}
+    return union_exports(*[spark.read.options(**options).csv(files) for files in alike.values()])
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -19,9 +44,16 @@ def read_csv(
     sep: str = ",",
     name_pattern: str | None = None,
     timestamp_format: str | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
-    """Files with a header line, typed by `schema`; split by Spark at any size."""
-    reader = spark.read.schema(schema).option("header", True).option("sep", sep)
+    """Files with a header line, typed by `schema`; split by Spark at any size.
+
+    A header that names other columns than the schema, or in another order, fails
+    the read. With `multiline`, quoted fields may hold line breaks; a file is
+    then read by one task.
+    """
+    reader = spark.read.schema(schema).options(header=True, sep=sep, multiLine=multiline, **DIALECT)
+    reader = reader.option("enforceSchema", False)
     if name_pattern:
         reader = reader.option("pathGlobFilter", name_pattern)
     if timestamp_format:
@@ -69,7 +101,7 @@ def read_after_preamble(
         .otherwise(F.length(F.trim("value")) > 0)
     )
     layout = ", ".join(f"`{name.strip()}` STRING" for name in names)
-    parsed = F.from_csv("value", layout, {"sep": sep})
+    parsed = F.from_csv("value", layout, {"sep": sep, **DIALECT})
     placed = join_lookup(lines, first, "file", spread_by=["id"])
     rows = placed.filter(is_data).select(parsed.alias("row")).select("row.*")
     return rows.select(*[f"`{name}`" for name in columns]) if columns else rows

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tallyframe.functions.dates import month_key
 from tallyframe.schemas import DATASETS, check_schema
+from tallyframe.sources.exports import DIALECT
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -30,7 +31,7 @@ def work_folder(spark: SparkSession) -> str:
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",") -> None:
     """Delimited files with a header line, replacing the old ones."""
-    writer = df.write.mode("overwrite").option("header", True).option("sep", sep)
+    writer = df.write.mode("overwrite").options(header=True, sep=sep, **DIALECT)
     writer.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").csv(path)
 
 

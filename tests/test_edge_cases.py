@@ -343,7 +343,7 @@ def people_frames(spark):
     )
     lines = [("i", 1), ("h", 2), ("o", 3), ("n", 4), ("b", 5), (None, 6), ("h", 7)]
     eod = spark.createDataFrame(
-        [(n, stamp("2024-01-02"), "acc", h, 30) for n, h in lines], schemas.EOD
+        [(n, stamp("2024-01-02"), "acc", Decimal(h), Decimal(30)) for n, h in lines], schemas.EOD
     )
     return employees, eod
 

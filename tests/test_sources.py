@@ -82,7 +82,7 @@ def test_union_fills_missing_columns_with_null(spark):
 @pytest.mark.parametrize("sep", [",", "|"])
 def test_delimited_round_trip_is_the_same_bag(spark, tmp_path, sep):
     at = dt.datetime(2024, 1, 1, 9, 30, 0, 123456)
-    data = [("a,b", at, 'q"x|', 1, 2), ("a,b", None, None, None, 0)] * 2
+    data = [("a,b", at, 'q"x|', Decimal("7.5"), Decimal(2)), ("a,b", None, None, None, Decimal(0))] * 2
     df = spark.createDataFrame(data, schemas.EOD)
     path = str(tmp_path / "out")
     publish.write_delimited(df, path, sep)
@@ -229,3 +229,34 @@ def test_every_layout_names_columns_of_its_schema():
     for name, export in datasets.EXPORTS.items():
         assert export.dataset == name
         assert set(export.columns.values()) <= set(export.schema.names)
+
+
+def test_exports_are_read_by_header_name(spark, tmp_path):
+    (tmp_path / "1.csv").write_text('Name,Hours,Date,Account,Minutes\n"a ""b"", c",7.5,2024-01-02,x,30.5\n')
+    (tmp_path / "2.csv").write_text("Date,Name,Minutes,Other\n2024-01-03,d,bad,1\n")
+    export = datasets.Export(
+        "eod",
+        {"Name": "employee_name", "Date": "date", "Account": "account", "Hours": "hours", "Minutes": "minutes"},
+    )
+    got = {r.employee_name: r for r in datasets.read_export(spark, export, str(tmp_path)).collect()}
+    assert got['a "b", c'].hours == Decimal("7.5") and got['a "b", c'].minutes == Decimal("30.5")
+    assert got["d"].date == dt.datetime(2024, 1, 3) and got["d"].hours is None and got["d"].account is None
+    counts = datasets.rejected(spark, export, str(tmp_path)).first()
+    assert counts.minutes == 1 and counts.hours == 0
+    with pytest.raises(ValueError, match="minutes"):
+        datasets.read_strictly(spark, export, str(tmp_path))
+
+
+def test_line_breaks_in_quoted_fields(spark, tmp_path):
+    df = spark.createDataFrame([("a\nb", "c"), ('"', "d")], "x string, y string")
+    path = str(tmp_path / "out")
+    publish.write_delimited(df, path)
+    back = exports.read_csv(spark, path, df.schema, multiline=True)
+    assert back.exceptAll(df).count() == 0 and df.exceptAll(back).count() == 0
+
+
+def test_double_and_decimal_costs_agree(spark):
+    from tallyframe.functions.amounts import amount_sum
+
+    df = spark.range(1000).selectExpr("0.004D AS real", "CAST(0.004 AS DECIMAL(18, 6)) AS exact")
+    assert df.agg(amount_sum(df, "real").alias("a"), amount_sum(df, "exact").alias("b")).first() == (4.0, 4.0)
