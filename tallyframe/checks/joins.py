@@ -80,7 +80,7 @@ CHECKS = {
         ),
         over(
             "eod employee",
-            """SELECT account, employee_name, minutes, CAST(worker_type AS BIGINT) AS worker_type,
+            """SELECT account, employee_name, CAST(minutes AS DOUBLE) AS minutes, CAST(worker_type AS BIGINT) AS worker_type,
               CASE worker_type WHEN 1 THEN 'Interns' WHEN 3 THEN 'Other groups' ELSE 'Home' END
                 AS type_name FROM typed""",
             typed=TYPED,

@@ -9,6 +9,8 @@ import pytest
 from compare import connect, difference
 from conftest import FOLDER
 
+from tallyframe.checks import registry
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -20,7 +22,8 @@ def _entry_module():
 
 
 ENTRY = _entry_module()
-QUERIES, SQL = ENTRY.queries(), ENTRY.oracle_sql()
+# the reports; training-text queries, where present, have tests of their own
+QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +39,7 @@ def test_query_matches_sql(built, duck, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(ENTRY.queries()) and set(SQL) <= set(ENTRY.oracle_sql())
 
 
 def test_flagship_query_has_rows(spark):
