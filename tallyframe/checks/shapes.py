@@ -12,7 +12,7 @@ from tallyframe.checks.projections import OPEN, SHORT_COLUMNS, SHORT_SQL
 from tallyframe.checks.views import over
 from tallyframe.functions.dates import month_key
 from tallyframe.operators import filters
-from tallyframe.operators.calendar import month_at, newest_months
+from tallyframe.operators.calendar import newest_months, rows_of_newest
 from tallyframe.operators.ranking import line_numbers, order_by_group_total, top_per_group
 from tallyframe.operators.totals import total_by
 from tallyframe.plans import cost, revenue, sponsorship, utilisation, workforce
@@ -155,9 +155,7 @@ CHECKS = {
         ),
     ),
     "w3_pick_one_month": Check(
-        lambda s, d: data.usage(s, d)
-        .filter(filters.in_month("usage_date", month_at(data.usage(s, d), 3)))
-        .select("usage_date", "category", "subscription", "cost"),
+        lambda s, d: rows_of_newest(data.usage(s, d), 3).select("usage_date", "category", "subscription", "cost"),
         over(
             "usage",
             f"""SELECT strftime(usage_date, '%Y-%m-%d %H:%M:%S') AS usage_date, category,
@@ -242,19 +240,14 @@ CHECKS = {
         ),
     ),
     "w7_latest_month_total": Check(
-        lambda s, d: cost.monthly_total(data.usage(s, d)).agg(
-            F.max("report_month").alias("report_month"),
-            F.max_by("cost", "report_month").alias("cost"),
-        ),
+        lambda s, d: cost.latest_month_total(data.usage(s, d)),
         over(
             "usage",
             f"SELECT report_month, {COST} FROM usage GROUP BY 1 ORDER BY 1 DESC LIMIT 1",
         ),
     ),
     "w7_latest_total_mean": Check(
-        lambda s, d: cost.mean_per_day_with_total(data.usage(s, d))
-        .filter(F.col("subscription") == "Total")
-        .agg(F.max_by("mean_cost", "report_month").alias("mean_cost")),
+        lambda s, d: cost.latest_total_mean(data.usage(s, d)),
         over(
             "usage",
             """SELECT CAST(sum(CAST(m AS DECIMAL(28,6))) AS DOUBLE) AS mean_cost

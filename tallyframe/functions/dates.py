@@ -87,9 +87,14 @@ def previous_month_end(day: Column | str) -> Column:
     return F.date_sub(month_start(day), 1)
 
 
+def _from(day: Column | str, start: Column, months: int) -> Column:
+    """A range over the stored column, so the scan can skip other days."""
+    return (col(day) >= start) & (col(day) < F.add_months(start, months))
+
+
 def same_year(day: Column | str, as_of: AsOf) -> Column:
-    return F.trunc(col(day), "YEAR") == F.trunc(as_date(as_of), "YEAR")
+    return _from(day, F.trunc(as_date(as_of), "YEAR"), 12)
 
 
 def same_month(day: Column | str, as_of: AsOf) -> Column:
-    return month_start(day) == month_start(as_date(as_of))
+    return _from(day, month_start(as_date(as_of)), 1)

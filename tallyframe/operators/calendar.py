@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions.dates import AsOf, as_date, as_month, month_key, month_start
 from tallyframe.operators.filters import in_month, on_or_after, present
@@ -46,10 +47,28 @@ def newest_months(df: DataFrame, day: str = "usage_date") -> DataFrame:
     return months.withColumn("position", F.dense_rank().over(Window.orderBy(F.desc("month"))))
 
 
-def month_at(df: DataFrame, position: int, day: str = "usage_date") -> Column:
-    """The month at a position in the newest-first list, as a scalar subquery."""
-    months = newest_months(df, day).filter(F.col("position") == position)
-    return months.select("month").scalar()
+def _day_type(df: DataFrame, day: str) -> T.DataType:
+    """The type of a stored date, for bounds that are compared with it without a cast.
+
+    Only a comparison of the bare column with a bare subquery reaches the scan.
+    """
+    kind = df.schema[day].dataType
+    dated = isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    return kind if dated else T.TimestampNTZType()
+
+
+def rows_of_newest(
+    df: DataFrame, position: int = 1, day: str = "usage_date", months_of: DataFrame | None = None
+) -> DataFrame:
+    """Rows of the month at a position in the newest-first list, of `months_of` if given."""
+    source = df if months_of is None else months_of
+    found = newest_months(source, day).filter(F.col("position") == position)
+    kind = _day_type(df, day)
+    start = found.select(F.col("month").cast(kind)).scalar()
+    after = found.select(F.add_months("month", 1).cast(kind)).scalar()
+    if PARTITION in df.columns:
+        df = df.filter(F.col(PARTITION) == found.select(month_key("month")).scalar())
+    return df.filter((F.col(day) >= start) & (F.col(day) < after))
 
 
 def last_months(
@@ -61,7 +80,10 @@ def last_months(
     """
     source = df if months_of is None else months_of
     kept = newest_months(source, day).filter(F.col("position") <= count)
-    return rows_since(df, kept.agg(F.min("month")).scalar(), day)
+    oldest = kept.agg(F.min("month").alias("month"))
+    if PARTITION in df.columns:
+        df = df.filter(F.col(PARTITION) >= oldest.select(month_key("month")).scalar())
+    return df.filter(F.col(day) >= oldest.select(F.col("month").cast(_day_type(df, day))).scalar())
 
 
 def _zero(df: DataFrame, amount: str) -> Column:

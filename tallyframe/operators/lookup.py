@@ -13,7 +13,7 @@ def join_lookup(
     lookup: DataFrame,
     key: str,
     spread_by: Sequence[str] = (),
-    salts: int = 16,
+    salts: int | None = None,
 ) -> DataFrame:
     """Inner join with a frame that has one row per key.
 
@@ -21,7 +21,10 @@ def join_lookup(
     each of them, so a hot key goes to several tasks. Adaptive execution does
     not split a hot key by itself here, because the lookup comes straight from
     an aggregate. Where the lookup is small, Spark broadcasts it as usual.
+    Unless given, there is a group per 16 shuffle partitions, 16 at least.
     """
+    if salts is None:
+        salts = max(16, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
     spread = F.pmod(F.xxhash64(*(spread_by or rows.columns)), F.lit(salts))
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
     dealt = rows.withColumn("_salt", spread)

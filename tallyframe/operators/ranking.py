@@ -40,7 +40,7 @@ def line_numbers(
     order: Sequence[str],
     within: Sequence[str] = (),
     name: str = "line_no",
-    ranges: int = 256,
+    ranges: int | None = None,
     grouped: bool = False,
 ) -> DataFrame:
     """Number the rows 1, 2, 3 .. in ascending order, anew in each subset.
@@ -52,11 +52,17 @@ def line_numbers(
     sample gives the same numbers. End `order` with a unique column, so that
     one repeated key cannot fill a range.
 
+    There are as many ranges as shuffle partitions, rounded up to a power of two,
+    unless `ranges` says otherwise.
+
     The rows are read three times: for the sample, the counts and the listing.
     A plain scan then reads just the sort key for the first two. With
     `grouped`, for rows that come out of a shuffle, all three read the same
     columns, so that Spark runs what is below that shuffle once.
     """
+    if ranges is None:
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = 1 << max(1, (tasks - 1).bit_length())
     if ranges < 2 or ranges & (ranges - 1):
         raise ValueError("ranges must be a power of two")
     key = F.struct(*[F.col(c) for c in order])

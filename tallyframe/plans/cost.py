@@ -25,9 +25,9 @@ from tallyframe.operators.calendar import (
     dense_cells,
     fill_months,
     last_months,
-    month_at,
     moving_mean,
     rows_of_month,
+    rows_of_newest,
     rows_since,
 )
 from tallyframe.operators.filters import any_of, chosen_or_all, present
@@ -68,8 +68,7 @@ def daily_by_subscription(
     usage: DataFrame, position: int = 1, months_of: DataFrame | None = None
 ) -> DataFrame:
     """One month's cost per day and subscription; position 1 is the newest month."""
-    source = usage if months_of is None else months_of
-    month = rows_of_month(usage, month_at(source, position))
+    month = rows_of_newest(usage, position, months_of=months_of)
     return total_by(month, ["day", "subscription"], "cost")
 
 
@@ -77,6 +76,13 @@ def monthly_total(usage: DataFrame) -> DataFrame:
     return _keyed(total_by(usage, ["month"], "cost"))
 
 
+def latest_month_total(usage: DataFrame) -> DataFrame:
+    """The newest month and its cost, in one row; nulls without any month."""
+    return monthly_total(rows_of_newest(usage)).agg(
+        F.max("report_month").alias("report_month"), F.max("cost").alias("cost")
+    )
+
+
 def month_end_totals(costs: DataFrame, day: str = "date") -> DataFrame:
     """Cost per calendar month, dated at month end, empty months as 0."""
     months = total_by(costs.withColumn("month", month_start(day)), ["month"], "cost")
@@ -146,13 +152,20 @@ def mean_per_day_with_total(
     return with_group_total(means, ["report_month"], "subscription", label, mean)
 
 
+def latest_total_mean(usage: DataFrame, months_of: DataFrame | None = None) -> DataFrame:
+    """The added daily means of the newest month, in one row."""
+    means = mean_per_day(usage, 1, months_of)
+    return means.agg(fine_sum("mean_cost").alias("mean_cost"))
+
+
 def month_end_forecast(usage: DataFrame) -> DataFrame:
     """Cost so far in the newest month and its expected cost at month end.
 
     The remaining days count from the last day with data, each at the sum of
-    the subscriptions' daily means. One pass over the data gives one row.
+    the subscriptions' daily means. Only that month's cost is read, and one row
+    comes out.
     """
-    means = present(_monthly_means(usage), "month")
+    means = present(_monthly_means(rows_of_newest(usage)), "month")
     known = F.when(F.col("subscription").isNotNull(), F.col("mean_cost"))
     months = means.groupBy("month").agg(
         fine_sum("cost").alias("current_total"),
@@ -209,8 +222,6 @@ def extent(usage: DataFrame) -> DataFrame:
     )
 
 
-
-
 def forecast_text(usage: DataFrame) -> DataFrame:
     """The forecast as three lines of text."""
     days = F.col("remaining_days").cast("string")

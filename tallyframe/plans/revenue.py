@@ -160,7 +160,7 @@ def month_cells(invoices: DataFrame) -> DataFrame:
 
 
 def statement(invoices: DataFrame) -> DataFrame:
-    """Line items as rows, months as columns, the total to date last.
+    """Line items as rows in the order of `CELLS`, months as columns, the total to date last.
 
     A month without any row on either side is null in every line.
     """
@@ -169,7 +169,8 @@ def statement(invoices: DataFrame) -> DataFrame:
         F.max(F.when(F.col("mon") == number, F.col("amount"))).alias(name)
         for number, name in enumerate(MONTHS, start=1)
     ]
-    return lines.groupBy("line").agg(*cells, fine_sum("amount").alias(TO_DATE))
+    order = F.array_position(F.array(*[F.lit(name) for name in CELLS]), F.col("line"))
+    return lines.groupBy("line").agg(*cells, fine_sum("amount").alias(TO_DATE)).orderBy(order)
 
 
 def to_date_totals(invoices: DataFrame) -> DataFrame:

@@ -53,20 +53,52 @@ class Publication:
     read: Callable[[SparkSession], DataFrame]
     target: str
     month_of: str | None = None  # partition by the month of this date column
+    only_its_months: bool = False  # leave published months alone that the export lacks
 
     @property
     def schema(self) -> T.StructType:
         return DATASETS[self.dataset]
 
 
+def _switch(spark: SparkSession, new: str, target: str) -> None:
+    """Put the finished copy at `new` in the target's place; the old copy goes last."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = f"{new}-old"
+    had = files.exists(path(target))
+    if had and not files.rename(path(target), path(old)):
+        raise OSError(f"cannot set the old copy at {target} aside")
+    if not files.rename(path(new), path(target)):
+        if had:
+            files.rename(path(old), path(target))
+        raise OSError(f"cannot move the new copy to {target}")
+    if had:
+        files.delete(path(old), True)
+
+
 def publish(spark: SparkSession, job: Publication) -> str:
-    """Read, check against the dataset's schema, replace the target; return it."""
+    """Read, check against the dataset's schema, replace the target; return it.
+
+    The new copy is written beside the target, checked again as stored and then
+    switched in, so a failed run leaves the old copy as it was. With
+    `only_its_months`, just the months that the export holds are replaced.
+    """
     df = check_schema(job.read(spark), job.schema)
     if job.month_of:
-        dated = df.withColumn("report_month", month_key(job.month_of))
-        write_by(dated, job.target, "report_month")
+        df = df.withColumn("report_month", month_key(job.month_of))
+    if job.only_its_months:
+        if not job.month_of:
+            raise ValueError("only_its_months needs month_of")
+        balanced = df.hint("rebalance", "report_month").write.mode("overwrite")
+        balanced.option("partitionOverwriteMode", "dynamic").partitionBy("report_month").parquet(job.target)
+        return job.target
+    new = f"{job.target.rstrip('/')}.{uuid.uuid4().hex}"
+    if job.month_of:
+        write_by(df, new, "report_month")
     else:
-        df.write.mode("overwrite").parquet(job.target)
+        df.write.parquet(new)
+    check_schema(spark.read.parquet(new).drop("report_month"), job.schema)
+    _switch(spark, new, job.target.rstrip("/"))
     return job.target
 
 

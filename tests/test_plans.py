@@ -8,6 +8,7 @@ import pytest
 
 from tallyframe import standins
 from tallyframe.checks import registry
+from tallyframe.functions import dates
 from tallyframe.operators import filters
 from tallyframe.operators.calendar import last_months
 from tallyframe.plans import cost
@@ -18,7 +19,7 @@ QUERIES = registry.queries()
 WRITING = {name for name in QUERIES if re.match(r"s[3-8]_", name)}
 # Windows over everything are allowed where the calendar or a fixed number of
 # ranges bounds the rows: months, days, line number shifts.
-BOUNDED_WINDOWS = {"w1", "w2", "w3", "w4", "w7", "p12", "a2", "a16", "a17", "j6", "f19"}
+BOUNDED_WINDOWS = {"w1", "w2", "w3", "w4", "w7", "p12", "a2", "a16", "a17", "a36", "j6", "f19"}
 
 
 def plan_of(df) -> str:
@@ -91,6 +92,24 @@ def test_last_months_needs_no_join(spark):
     assert "Join" not in plan
 
 
+@pytest.mark.parametrize(
+    "report", [lambda u: last_months(u, 3), cost.daily_by_subscription, cost.month_end_forecast, cost.top_categories]
+)
+def test_newest_months_are_compared_with_the_stored_date(spark, report):
+    """A bare column against a bare subquery, which Spark puts into the scan when it runs."""
+    plan = plan_of(report(standins.usage(spark, FOLDER)))
+    assert re.search(r"DataFilters: \[[^]]*\(o_orderdate#\d+ >= (Reused)?Subquery", plan)
+
+
+@pytest.mark.parametrize("condition", [dates.same_year, dates.same_month])
+def test_calendar_filters_reach_the_scan(spark, tmp_path, condition):
+    path = str(tmp_path / "holiday")
+    spark.sql("SELECT DATE'2024-01-01' AS holiday").write.parquet(path)
+    plan = plan_of(spark.read.parquet(path).filter(condition("holiday", "2024-05-03")))
+    pushed = re.search(r"PushedFilters: \[(.*?)\]", plan).group(1)
+    assert "GreaterThanOrEqual(holiday,2024-0" in pushed and "LessThan(holiday,202" in pushed
+
+
 def test_top_rows_are_cut_before_the_shuffle(spark):
     plan = plan_of(QUERIES["w2_top_resources_per_month"](spark, FOLDER))
     assert "WindowGroupLimit" in plan

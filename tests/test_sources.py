@@ -106,6 +106,35 @@ def test_publish_replaces_and_checks_the_schema(spark, tmp_path):
     assert tables.scan(spark, target).count() == 1
 
 
+def test_a_failed_publish_leaves_the_old_copy(spark, tmp_path):
+    target = str(tmp_path / "holiday")
+    good = spark.sql("SELECT DATE'2024-01-01' AS holiday, 'New year' AS holiday_name")
+    publish.publish(spark, publish.Publication("holiday", lambda s: good, target))
+    fails = good.withColumn("holiday_name", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        publish.publish(spark, publish.Publication("holiday", lambda s: fails, target))
+    assert tables.scan(spark, target).collect() == good.collect()
+
+
+def test_new_months_leave_the_others_alone(spark, tmp_path):
+    def usage(*days):
+        rows = [(day, cost, "x") for day, cost in days]
+        named = {"usage_date": F.col("day"), "cost": F.col("cost")}
+        return spark.createDataFrame(rows, "day string, cost int, other string").select(
+            *[named.get(f.name, F.col("other")).cast(f.dataType).alias(f.name) for f in schemas.USAGE]
+        )
+
+    target = str(tmp_path / "usage")
+
+    def put(rows, **more):
+        publish.publish(spark, publish.Publication("usage", lambda s: rows, target, "usage_date", **more))
+
+    put(usage(("2024-01-05", 1), ("2024-02-05", 2)))
+    put(usage(("2024-02-06", 5), ("2024-03-01", 7)), only_its_months=True)
+    months = tables.scan(spark, target).groupBy("report_month").agg(F.sum("cost").cast("int").alias("c"))
+    assert {tuple(r) for r in months.collect()} == {("2024-01", 1), ("2024-02", 5), ("2024-03", 7)}
+
+
 def test_reports_on_published_usage_open_only_their_months(spark, tmp_path):
     source = standins.usage(spark, "/root/testdata/sf0.001", groups=True)
     typed = source.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.USAGE])
