@@ -1,22 +1,32 @@
 """Personal data and the terms that give it away, by information-theoretic sanitisation.
 
-Base matches (e-mail, ip, card, phone) are the protected entities. A term near a
-match (within ``CONTEXT`` code points of it) reveals it as far as the corpus says
-so: with D the number of documents, PMI(term, entity) = log2(D(both) N / (D(term)
-D(entity))) is the information that the term gives about the entity, and IC(entity)
-= log2(N / D(entity)) all there is to give. A term whose PMI is at least
-``DISCLOSURE`` of the IC, and that stands near the entity in ``MIN_TEXTS`` distinct
-texts or more, is sensitive; its places near that entity are matches of the kind
-``term``. D(both) counts documents in which the term stands near the entity, D(term)
-documents that hold the term anywhere; all counts run over all documents.
+Base matches (e-mail, ip, card, phone) are the protected entities. Every word of a
+document that stands outside its matches is a candidate term for the entities of the
+document. With D the number of documents, PMI(term, entity) = log2(D(both) N /
+(D(term) D(entity))) is the information that the term gives about the entity, and
+IC(entity) = log2(N / D(entity)) all there is to give. A term reveals when its PMI is
+at least ``DISCLOSURE`` of the IC and the corpus bears it out, which is judged thrice:
+
+- for an entity of ``MIN_TEXTS`` distinct texts or more by itself: the term stands
+  beside it in ``MIN_TEXTS`` distinct texts or more;
+- for rarer entities by kind: those of one kind count together as one entity, and
+  besides ``MIN_TEXTS`` the chance that all documents with the term hold the kind
+  without any relation, (D(kind) / N) ^ D(both), must be below 2 ^ -``EVIDENCE``;
+- for each entity, however rare, by its own value: a word of an e-mail address needs
+  no number of texts, as the address itself ties them.
+
+Any other term of one or two texts is not sensitive: each word that occurs once would
+give all of the IC. A sensitive term is a match of the kind ``term`` at all its places
+in all documents that hold the entity (for a kind: a rare entity of it). Counts run
+over all rows, texts by their hash; words inside base matches do not count as terms.
 
 Sanitising puts the kind's general name in place of a match (``generalise``) or
 removes it.
 
 Only DataFrame functions are used. Places are code points, ends exclusive. Null
 texts count as empty and stay null when sanitised. Rows are matched by themselves,
-so repeated rows get equal results; rows with equal id and text count once among
-the documents near an entity. Extra columns are carried or ignored; an empty table
+so repeated rows get equal results; they count each as a document, but once among the
+distinct texts. Extra columns are carried or ignored; an empty table
 gives an empty one.
 
 Repeated groups in the patterns are possessive and local parts begin where a run
@@ -40,9 +50,12 @@ CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 WORD = r"\p{L}{3,}"
 
-CONTEXT = 60
 DISCLOSURE = 0.9
 MIN_TEXTS = 3
+#: Bits by which a term of a kind must be beyond chance.
+EVIDENCE = 20
+#: Code points of a text that are searched for words at a time.
+PIECE = r"(?s).{1,4000}+\p{L}*+"
 
 FOUND = T.ArrayType(T.StructType([field("start", "int"), field("end", "int"), field("value", "string")]))
 SPAN = T.StructType([field("start", "int"), field("kind", "int"), field("end", "int"), field("value", "string")])
@@ -137,80 +150,112 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def found_in(docs: DataFrame) -> DataFrame:
-    """(doc_id, print, base, near): base matches, and the text around each of them."""
+    """(doc_id, print, base, open): base matches, and the text with blanks in their place."""
     rows = _keyed(docs).withColumn("base", base_spans(F.col("text")))
-    text = F.col("text")
+    return rows.select("doc_id", "print", "base", _blanked(F.col("text"), F.col("base")).alias("open"))
 
-    def around(s: Column) -> Column:
-        left = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        before = F.substring(text, left + 1, s["start"] - left)
-        after = F.substring(text, s["end"] + 1, F.lit(CONTEXT))
-        return F.struct(left.alias("from"), before.alias("before"), after.alias("after"))
 
-    return rows.select("doc_id", "print", "base", F.transform("base", around).alias("near"))
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with as many blanks in place of each match, so that places stay."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
+    def add(so_far: Column, s: Column) -> Column:
+        at = F.greatest(so_far["at"], s["start"])
+        kept = F.substring(text, so_far["at"] + 1, at - so_far["at"])
+        end = F.greatest(at, s["end"])
+        parts = F.concat(so_far["parts"], F.array(kept, F.repeat(F.lit(" "), end - at)))
+        return F.struct(end.alias("at"), parts.alias("parts"))
 
-def _near_terms(found: DataFrame) -> DataFrame:
-    """(doc_id, print, entity, term, start, end): whole words near a match and outside all matches."""
-    each = found.where(F.size("base") > 0).select(
-        "doc_id", "print", "base", F.explode(F.arrays_zip("base", "near")).alias("x")
-    )
-    each = each.select(
-        "doc_id",
-        "print",
-        "base",
-        F.concat_ws(":", F.col("x.base.kind"), F.lower("x.base.value")).alias("entity"),
-        F.col("x.base.end").alias("stop"),
-        F.col("x.near.from").alias("from"),
-        F.col("x.near.before").alias("before"),
-        F.col("x.near.after").alias("after"),
-    )
-    # a word that touches the cut end of the context may go on beyond it
-    before = F.filter(places(F.col("before"), WORD), lambda w: (w["start"] > 0) | (F.col("from") == 0))
-    after = F.filter(
-        places(F.col("after"), WORD), lambda w: (w["end"] < F.length("after")) | (F.length("after") < CONTEXT)
-    )
-    moved = lambda words, by: F.transform(
-        words,
-        lambda w: F.struct(
-            (w["start"] + by).alias("start"), (w["end"] + by).alias("end"), F.lower(w["value"]).alias("term")
-        ),
+    end = lambda x: F.concat(
+        F.array_join(x["parts"], ""), F.substring(text, x["at"] + 1, F.length(text))
     )
-    words = F.concat(moved(before, F.col("from")), moved(after, F.col("stop")))
-    each = each.select("doc_id", "print", "base", "entity", F.explode(words).alias("w"))
-    clear = ~F.exists("base", lambda b: (b["start"] < F.col("w.end")) & (F.col("w.start") < b["end"]))
-    return each.where(clear).select("doc_id", "print", "entity", "w.term", "w.start", "w.end")
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, add, end))
 
 
-def revealing(docs: DataFrame, found: DataFrame, near: DataFrame, disclosure: float, min_texts: int) -> DataFrame:
-    """(entity, term): the terms that reveal an entity."""
-    pairs = near.select("doc_id", "print", "entity", "term").distinct()
-    together = pairs.groupBy("entity", "term").agg(
-        F.count("*").alias("both"), F.count_distinct("print").alias("texts")
-    )
-    together = stored(together.where(F.col("texts") >= min_texts))
-    entities = found.select("doc_id", "print", F.explode("base").alias("b"))
-    entities = entities.select("doc_id", "print", F.concat_ws(":", F.col("b.kind"), F.lower("b.value")).alias("entity"))
-    entity_count = entities.distinct().groupBy("entity").agg(F.count("*").alias("d_entity"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(docs["text"], F.lit(""))), F.lit(WORD), F.lit(0)))
-    term_count = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("d_term"))
-    total = found.agg(F.count("*").cast("double").alias("n"))
-    rated = together.join(entity_count, "entity").join(term_count, "term").crossJoin(F.broadcast(total))  # one row
-    told = F.log2(F.col("both") * F.col("n") / (F.col("d_term") * F.col("d_entity")))
-    content = F.log2(F.col("n") / F.col("d_entity"))
-    return rated.where((content > 0) & (told >= content * disclosure)).select("entity", "term")
+def _words(text: Column) -> Column:
+    """The words of a text as (start, end, term); pieces end where a word ends and keep the time linear."""
 
+    def of(piece: Column) -> Column:
+        return F.transform(
+            places(piece["value"], WORD),
+            lambda w: F.struct(
+                (w["start"] + piece["start"]).alias("start"),
+                (w["end"] + piece["start"]).alias("end"),
+                F.lower(w["value"]).alias("term"),
+            ),
+        )
 
-def term_spans(docs: DataFrame, found: DataFrame, disclosure: float, min_texts: int) -> DataFrame:
-    """(doc_id, print, terms): the places of revealing terms near the entity that they reveal."""
-    near = stored(_near_terms(found))
-    chosen = revealing(docs, found, near, disclosure, min_texts)
+    return F.flatten(F.transform(places(text, PIECE), of))
+
+
+def _terms(text: Column) -> Column:
+    """The distinct words in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
+
+
+def _texts(found: DataFrame) -> DataFrame:
+    """(print, n, entities, words) of each distinct text with a match; n counts its rows."""
+    texts = found.where(F.size("base") > 0).groupBy("print")
+    texts = texts.agg(F.count("*").alias("n"), F.first("base").alias("base"), F.first("open").alias("open"))
+    entities = F.transform("base", lambda b: F.concat_ws(":", b["kind"], F.lower(b["value"])))
+    return texts.select("print", "n", F.array_distinct(entities).alias("entities"), _words(F.col("open")).alias("words"))
+
+
+def _members(texts: DataFrame, min_texts: int) -> DataFrame:
+    """(print, n, subject): whom the terms of a text can reveal.
+
+    Entities that stand in the same texts have the same terms, so they are one subject;
+    those of fewer texts than ``min_texts`` are one subject for each kind.
+    """
+    each = texts.select("print", "n", F.explode("entities").alias("entity"))
+    alike = F.sum(F.xxhash64("print").cast("decimal(20,0)"))
+    known = each.groupBy("entity").agg(F.count("*").alias("texts"), alike.alias("alike"))
+    kind = F.concat(F.lit("kind:"), F.substring_index("entity", ":", 1))
+    own = F.concat_ws(":", F.lit("texts"), "texts", "alike")
+    named = stored(known.select("entity", F.when(F.col("texts") < min_texts, kind).otherwise(own).alias("subject")))
+    return each.join(named, "entity").select("print", "n", "subject").distinct()
+
+
+def _pairs(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """(print, n, subject, term): terms beside a subject; for ``own:`` subjects the words of the entity's value."""
+    terms = texts.select("print", F.explode(F.array_distinct("words.term")).alias("term"))
+    own = texts.select("print", "n", F.explode("entities").alias("entity"), F.col("words.term").alias("terms"))
+    own = own.withColumn("term", F.explode(F.array_intersect(_terms(F.col("entity")), "terms")))
+    own = own.select("print", "n", F.concat(F.lit("own:"), "entity").alias("subject"), "term")
+    return members.join(terms, "print").unionByName(own)
+
+
+def revealing(
+    found: DataFrame, texts: DataFrame, members: DataFrame, pairs: DataFrame, disclosure: float, min_texts: int
+) -> DataFrame:
+    """(subject, term): the terms that reveal a subject."""
+    together = pairs.groupBy("subject", "term").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
+    together = stored(together.where((F.col("texts") >= min_texts) | F.startswith("subject", F.lit("own:"))))
+    own = texts.select("n", F.explode("entities").alias("entity"))
+    own = own.where(F.rlike("entity", F.lit(WORD))).select("n", F.concat(F.lit("own:"), "entity").alias("subject"))
+    count = members.select("n", "subject").unionByName(own).groupBy("subject").agg(F.sum("n").alias("d_subject"))
+    term_count = found.select(F.explode(_terms(F.col("open"))).alias("term")).groupBy("term").agg(F.count("*").alias("d_term"))
+    total = found.agg(F.count("*").cast("double").alias("n"))
+    # stored, so that adaptive execution can split the terms of a subject
+    rated = together.join(stored(count), "subject").join(stored(term_count), "term").crossJoin(F.broadcast(total))  # one row
+    told = F.log2(F.col("both") * F.col("n") / (F.col("d_term") * F.col("d_subject")))
+    content = F.log2(F.col("n") / F.col("d_subject"))
+    sure = ~F.startswith("subject", F.lit("kind:")) | (F.col("both") * content >= EVIDENCE)
+    return rated.where((content > 0) & (told >= content * disclosure) & sure).select("subject", "term")
+
+
+def term_spans(found: DataFrame, disclosure: float, min_texts: int) -> DataFrame:
+    """(print, terms): the places of the terms that reveal an entity of the text."""
+    texts = stored(_texts(found))
+    members = stored(_members(texts, min_texts))
+    pairs = _pairs(texts, members)
+    chosen = stored(revealing(found, texts, members, pairs, disclosure, min_texts))
+    wanted = pairs.join(chosen, ["subject", "term"], "left_semi").select("print", "term").distinct()
+    words = texts.select("print", F.explode("words").alias("w")).select("print", "w.term", "w.start", "w.end")
     span = F.struct(
         F.col("start"), F.lit(KINDS.index("term")).alias("kind"), F.col("end"), F.lit("").alias("value")
     )
-    return (
-        near.join(chosen, ["entity", "term"]).groupBy("doc_id", "print").agg(F.collect_set(span).alias("terms"))
-    )
+    return words.join(wanted, ["print", "term"]).groupBy("print").agg(F.collect_list(span).alias("terms"))
 
 
 def _same_row(left: DataFrame, right: DataFrame) -> Column:
@@ -220,11 +265,11 @@ def _same_row(left: DataFrame, right: DataFrame) -> Column:
 def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, min_texts: int = MIN_TEXTS) -> DataFrame:
     """Per row: doc_id, print (a hash of the text), base and all spans (start, kind, end, value)."""
     found = stored(found_in(docs))
-    terms = term_spans(docs, found, disclosure, min_texts)
-    # two columns only: a document has few spans, however long it is
-    out = found.select("doc_id", "print", "base").join(terms, _same_row(found, terms), "left")
+    # stored, so that adaptive execution can split the rows of one text
+    terms = stored(term_spans(found, disclosure, min_texts))
+    out = found.select("doc_id", "print", "base").join(terms, "print", "left")
     every = F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(T.ArrayType(SPAN)))))
-    return out.select(found["doc_id"], found["print"], "base", every.alias("spans"))
+    return out.select("doc_id", "print", "base", every.alias("spans"))
 
 
 def covered(text: Column, spans: Column, generalise: bool) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -266,3 +267,68 @@ def test_revealing_terms(spark):
     assert all(out[i] == t for i, t in plain)
     spans = {r.doc_id: r.s for r in sanitise.personal_data(frame).select("doc_id", sanitise.listed(F.col("spans")).alias("s")).collect()}
     assert "term:7:13" in spans[101] and "email" in spans[101]
+
+
+def _terms_by_hand(rows):
+    """The places of revealing terms, straight from the definition."""
+    bases, words = [], []
+    for _, text in rows:
+        spans = [x.split(":") for x in _base(text).split(",") if x]
+        spans = [(k, int(a), int(b)) for k, a, b in spans]
+        clear = "".join(" " if any(a <= i < b for _, a, b in spans) else c for i, c in enumerate(text or ""))
+        bases.append({(k, text[a:b].lower()) for k, a, b in spans})
+        words.append([(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{3,}", clear)])
+    held, kinds, d_term = defaultdict(set), defaultdict(set), defaultdict(int)
+    for i, base in enumerate(bases):
+        for e in base:
+            held[e].add(i)
+        for w in {w for _, _, w in words[i]}:
+            d_term[w] += 1
+    few = lambda at, least: len({rows[i][1] for i in at}) < least
+    for e, at in held.items():
+        if few(at, 3):
+            kinds[e[0]] |= at
+    out = defaultdict(set)
+
+    def judge(at, candidates, min_texts, bits):
+        content = math.log2(len(rows) / len(at))
+        for w in {w for i in at for _, _, w in words[i]} & candidates:
+            both = {i for i in at if any(w == x for _, _, x in words[i])}
+            told = math.log2(len(both) * len(rows) / (d_term[w] * len(at)))
+            if content > 0 and told >= content * 0.9 and not few(both, min_texts) and len(both) * content >= bits:
+                for i in both:
+                    out[i] |= {(a, b) for a, b, x in words[i] if x == w}
+
+    for e, at in held.items():
+        if not few(at, 3):
+            judge(at, set(d_term), 3, 0)
+        judge(at, set(re.findall(r"[^\W\d_]{3,}", e[1])) & set(d_term), 1, 0)
+    for at in kinds.values():
+        judge(at, set(d_term), 3, 20)
+    return [",".join(f"term:{a}:{b}" for a, b in sorted(out[i])) for i in range(len(rows))]
+
+
+def test_revealing_terms_of_whole_documents_and_rare_entities(spark):
+    rnd = random.Random(5)
+    fill = lambda n: " ".join(rnd.choice(["alpha", "Beta", "gamma", "été", "👍", "of"]) for _ in range(n))
+    rows = [(i, f"{fill(30)} plain{'abcdefghij'[i % 10] * 3} cell") for i in range(300)]
+    # far from the match, twice, and in three texts
+    rows += [(400 + i, f"Quorvex {fill(900)} eve@site.net {fill(900)} quorvex {i}") for i in range(3)]
+    # one text each: the kind has a term of its own, each address its own words
+    rows += [(500 + i, f"Miller{'abcdefgh'[i]} {fill(40)} reachable {fill(40)} x.miller{'abcdefgh'[i]}@site.net once{'abcdefgh'[i] * 2}") for i in range(8)]
+    rows += [(None, rows[-1][1]), (None, rows[-1][1]), (600, None), (601, ""), (602, "cell 10.0.0.1 +44 20 7946 0958")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = F.filter("spans", lambda s: s["kind"] == 4)
+    got = _rows(sanitise.personal_data(frame), "doc_id", sanitise.listed(terms))
+    assert got == sorted([(r[0], t) for r, t in zip(rows, _terms_by_hand(rows))], key=str)
+    safe = {r.doc_id: r.text for r in sanitise.sanitised(frame).collect()}
+    assert safe[400].count("[TERM]") == 2 and "uorvex" not in safe[400]
+    assert safe[500].startswith("[TERM] ") and "iller" not in safe[500] and "reachable" not in safe[500] and "onceaa" in safe[500]
+    assert safe[0] == rows[0][1]
+
+
+def test_words_beyond_a_piece(spark):
+    text = "é👍 " * 1500 + "x" * 9000 + " 1 " + "word, " * 2000
+    out = spark.createDataFrame([(text,), ("",)], "t string").select(sanitise._words(F.col("t")).alias("w")).collect()
+    assert [(w.start, w.end, w.term) for w in out[0].w] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"[a-z]{3,}", text)]
+    assert out[1].w == []
