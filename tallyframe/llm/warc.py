@@ -30,8 +30,18 @@ from tallyframe.llm.shared import annotated, field
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:tallyframe:derivatives")
 METADATA, CONVERSION = "metadata", "conversion"
 
-_HIDDEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I
+_REST = r"(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+_LAST = r"(?=[\s/>])[^>]*+>"
+#: Comments, and elements whose content is no markup; these alone go on to the end of the page where nothing ends them.
+_RAW = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style){_LAST}.*?(?:</\1{_LAST}|\Z)", re.S | re.I)
+#: Tags of elements that show nothing; svg may close itself.
+_UNSEEN = re.compile(rf"<(?:(/)(noscript|template|svg){_LAST}|(noscript|template){_LAST}|(svg){_REST})", re.I)
+#: A head ends by its tag or, as that may be left out, before the first tag or text that cannot stand in it.
+_HEAD = re.compile(
+    rf"<head{_REST}(?:\s++|<title{_REST}[^<]*+(?:<(?!(?:/title|head)[\s/>])[^<]*+)*+</title{_LAST}"
+    rf"|<(?:base|basefont|bgsound|link|meta|noframes|noscript|template){_REST}"
+    rf"|</(?!(?:head|body|html|br)[\s/>])[A-Za-z][^>]*+>|<[!?][^>]*+>)*+(?:</head{_LAST})?",
+    re.I,
 )
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.S | re.I)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
@@ -49,12 +59,34 @@ _BLOCKS = frozenset(
 
 def plain_text(page: str) -> str:
     """The visible text, a line per block element, blanks joined."""
-    shown = _HIDDEN.sub(" ", page)
+    shown = _HEAD.sub(" ", _seen(_RAW.sub(" ", page)))
     parted = _TAG.sub(lambda m: "\n" if (m[2] or "").lower() in _BLOCKS else "", _BREAKS.sub(" ", shown))
     text = entities.unescape(parted).replace("\r", "\n")
     return _BREAKS.sub("\n", _BLANKS.sub(" ", text)).strip()
 
 
+def _seen(page: str) -> str:
+    """The page without the elements that show nothing; one without an end tag hides only its tag."""
+    opened: dict[str, list[int]] = {"noscript": [], "template": [], "svg": []}
+    hidden: list[tuple[int, int]] = []
+    for m in _UNSEEN.finditer(page):
+        name = (m[2] or m[3] or m[4]).lower()
+        if not m[1]:
+            if not (m[4] and m[0].endswith("/>")):
+                opened[name].append(m.start())
+        elif opened[name]:
+            start = opened[name].pop()
+            while hidden and hidden[-1][0] >= start:
+                hidden.pop()
+            hidden.append((start, m.end()))
+    parts, at = [], 0
+    for start, end in hidden:
+        if start > at:
+            parts.append(page[at:start])
+        at = max(at, end)
+    return " ".join([*parts, page[at:]])
+
+
 def title_of(page: str) -> str:
     found = _TITLE.search(page)
     return " ".join(entities.unescape(_TAG.sub("", found[1])).split()) if found else ""

@@ -100,6 +100,32 @@ def test_records(spark):
     assert warc.derivatives(warc.responses(pages.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>t</title><body><p>Hello</p></body></html>", "Hello"),
+    ("<head lang='a>b'>\n<meta x><link y/><base><!-- c --><script>s</script><title>a <b></title><p>one<p>two", "one\ntwo"),
+    ("<head><title>t</title>bare text<p>x", "bare text\nx"),
+    ("<HEAD><title>t</title></HEAD ><body>x<header>y</header>", "x\ny"),
+    ("<head><title>t</title></html>late", "late"),
+    ("<head><title>never closed<body><p>x", "never closed\nx"),
+    ("<head><noscript><link></head><p>x", "x"),
+    ("a<svg width='1/2>' />b<svg><text>no</text></svg>c<svg/>d", "ab cd"),
+    ("<p>a<svg><path>b<p>c", "ab\nc"),
+    ("a<template>n<template>o</template>p</template>b<noscript>q</noscript>c", "a b c"),
+    ("a<svg>b<template>c</svg>d</template>e", "a e"),
+    ("a<noscript>b<p>c<noscript>d</noscript>e", "ab\nc e"),
+    ("<style-guide>a</style-guide><head-x>b</head-x><svg-icon>c</svg-icon><scripts>d", "abcd"),
+    ("a<script>b</scripts>c</script >d<style>e", "a d"),
+    ("<head>" * 3 + "<title>x</title>" + "<svg>" * 3 + "a", "a"),
+])
+def test_text_after_open_elements(page, text):
+    assert warc.plain_text(page) == text
+
+
+def test_many_open_elements():
+    n = 20_000
+    assert warc.plain_text("<head><title>" * n + "<svg>" * n + "<template><noscript>" * n + "</svg>" * n + "end") == "end"
+
+
 @pytest.mark.parametrize("rate, label", [(quality.rate, "quality"), (toxicity.rate, "toxic")])
 def test_classifiers(spark, rate, label):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
