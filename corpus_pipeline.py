@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import decontamination, neardup, packing, sanitise, toxicity
-from tallyframe.llm.shared import crc_remainder, scratch_folder
+from tallyframe.llm.shared import crc_remainder, scratch_folder, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,14 +26,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays; of rows that repeat its id, one.
+    """One row of each group of texts that near duplicates link stays: of the smallest id, then by the row's hash.
 
-    Rows without an id link with nothing and stay.
+    Each row is judged by its own text, also where rows share an id. Texts without words
+    link with nothing; of those with the same id one stays. Rows without an id stay.
     """
-    groups = neardup.near_duplicates(docs)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    named, unnamed = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    return named.join(gone, named["doc_id"] == gone["gone"], "left_anti").dropDuplicates(["doc_id"]).unionByName(unnamed)
+    rows = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("at"), rows))
+    named, unnamed = rows.where("row.doc_id is not null"), rows.where("row.doc_id is null")
+    groups = neardup.near_duplicates(named.select(F.col("at").alias("doc_id"), F.col("row.text").alias("text")))
+    groups = groups.select(F.col("doc_id").alias("at"), "n_shingles", "component_id")
+    # rows with equal hashes are equal, so it does not matter which of them stays
+    order = F.struct(F.col("row.doc_id").alias("doc_id"), F.md5(F.to_json("row")).alias("hash"), "at").alias("order")
+    each = named.select("at", order).join(groups, "at")
+    worded = F.col("n_shingles") > 0
+    firsts = each.groupBy(F.when(worded, F.col("component_id")), F.when(~worded, F.col("order.doc_id")))
+    kept = firsts.agg(F.min("order").alias("first")).select("first.at")
+    return named.join(kept, "at", "left_semi").unionByName(unnamed).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -165,6 +165,25 @@ def test_pipeline_stages(spark):
     assert [name for name, _ in p.STAGES][-1] == "packing" and p.run(spark, SMALL).count() > 0
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    import corpus_pipeline as p
+
+    text = lambda word: " ".join(f"{word}{i}" for i in range(100))
+    near = lambda word: f"{text(word)} more"
+    rows = [(106, text("x"), "a"), (106, text("y"), "a"), (300, near("x"), "a"), (200, near("y"), "a"), (106, near("y"), "b"),
+            (106, text("x"), "b"), (106, "", "a"), (106, None, "a"), (107, "", "a"), (50, near("z"), "a"), (60, text("z"), "a"),
+            (None, text("x"), "a"), (None, text("x"), "a")]
+    rows += [(9, text(f"one{i}by"), "a") for i in range(30)]
+    frames = [spark.createDataFrame(x, "doc_id long, text string, lang string") for x in (rows, rows[::-1])]
+    outs = [sorted((tuple(r) for r in p.drop_near_duplicates(spark, f.repartition(3), SMALL).collect()), key=str) for f in frames]
+    assert outs[0] == outs[1]
+    kept = [(i, t) for i, t, _ in outs[0]]
+    assert kept.count((106, text("x"))) == 1 and sum(i == 106 and (t or "").startswith("y0") for i, t in kept) == 1
+    assert not {200, 300, 60} & {i for i, _ in kept} and (50, near("z")) in kept
+    assert sum(i == 106 and not t for i, t in kept) == 1 and (107, "") in kept
+    assert [i for i, _ in kept].count(9) == 30 and [i for i, _ in kept].count(None) == 2 and len(kept) == 37
+
+
 def test_registered_queries(spark):
     names = list(queries.queries())
     assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
