@@ -11,6 +11,7 @@ from tallyframe.llm import (
     embedding_dedup,
     neardup,
     packing,
+    pattern_packing,
     quality,
     sanitise,
     substring_dedup,
@@ -95,6 +96,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return _scored(toxicity.rate(docs, labels, lambda i: crc_remainder(i, 5) != 0, keep=["doc_id"]), 5, 0)
 
 
+def op13_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return pattern_packing.pack(_table(spark, folder, "documents"), path, with_ids=False).drop("ids")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -113,6 +119,7 @@ def queries() -> dict:
         op8_repeated_strings,
         op9_personal_data,
         op10_toxicity,
+        op13_pattern_packing,
         pipeline,
     ]
     return {f.__name__: f for f in own}
