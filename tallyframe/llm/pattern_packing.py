@@ -142,9 +142,8 @@ def tokenised(docs: DataFrame, path: str, capacity: int, end: int, with_ids: boo
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cached = worker_cache("byte encoders")
+        cached = worker_cache("pattern packing")
         if path not in cached:
-            cached.clear()
             cached[path] = ByteEncoder(path)
         encode = cached[path].encode
         task, full = TaskContext.get().partitionId(), 0

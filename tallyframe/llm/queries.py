@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from tallyframe.llm import (
     decontamination,
     embedding_dedup,
+    hard_negatives,
     neardup,
     packing,
     pattern_packing,
+    prefix_trie,
     quality,
     sanitise,
     substring_dedup,
@@ -96,6 +98,16 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return _scored(toxicity.rate(docs, labels, lambda i: crc_remainder(i, 5) != 0, keep=["doc_id"]), 5, 0)
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = hard_negatives.usable(_table(spark, folder, "embeddings"))
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", shifted), F.col("vec_id") % 50 == 0)
+
+
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(_table(spark, folder, "conversations"))
+
+
 def op13_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return pattern_packing.pack(_table(spark, folder, "documents"), path, with_ids=False).drop("ids")
@@ -119,6 +131,8 @@ def queries() -> dict:
         op8_repeated_strings,
         op9_personal_data,
         op10_toxicity,
+        op11_hard_negatives,
+        op12_conversation_trie,
         op13_pattern_packing,
         pipeline,
     ]
@@ -174,5 +188,61 @@ FROM embeddings LEFT JOIN counts USING (vec_id) LEFT JOIN least_id USING (vec_id
 """
 
 
+#: The scores of all anchors with all rows.
+OP11 = """
+WITH used AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM used a JOIN used b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+positives AS (
+  SELECT anchor, id, score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5),
+ranked AS (
+  SELECT p.anchor AS anchor_id, p.id AS positive_id,
+         CAST(row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
+         n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+  FROM positives p JOIN scores n ON n.anchor = p.anchor AND NOT n.same
+    AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT * FROM ranked WHERE rank <= 3
+"""
+
+#: Every start of every rebuilt conversation by the digests of its turns; crc32 bit by bit.
+OP12 = """
+WITH own AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id,
+         list({'k': md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, '')),
+               'n': strlen(coalesce(text, ''))} ORDER BY turn NULLS FIRST, role, text) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL),
+sums AS (
+  SELECT *, list_reduce(list_prepend(4294967295, [CAST(ord(c) AS BIGINT) FOR c IN string_split(CAST(conv_id AS VARCHAR), '')]),
+    lambda v, b: list_reduce(list_prepend(xor(v, b), range(8)),
+      lambda w, i: CASE WHEN w % 2 = 1 THEN xor(w >> 1, 3988292384) ELSE w >> 1 END)) AS crc FROM own),
+heads AS (SELECT *, xor(crc, 4294967295) % 9 AS h, conv_id - conv_id % 5 AS base FROM sums),
+built AS (
+  SELECT a.conv_id, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1:]) AS turns
+  FROM heads a LEFT JOIN own b ON b.conv_id = a.base),
+starts AS (
+  SELECT conv_id, d, len(turns) AS size, array_to_string([t.k FOR t IN turns[1:d]], ',') AS node,
+         array_to_string([t.k FOR t IN turns[1:d - 1]], ',') AS above, CASE WHEN d = 0 THEN 0 ELSE turns[d].n END AS bytes
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT d, node, any_value(above) AS above, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs,
+         array_to_string(list(conv_id ORDER BY conv_id) FILTER (size = d), ',') AS ends
+  FROM starts GROUP BY d, node),
+children AS (SELECT d - 1 AS d, above AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+counted AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children c USING (d, node)),
+below AS (
+  SELECT s.d, s.node, count(*) FILTER (u.n_children = 0) AS n_leaves, sum((u.n_convs - 1) * u.bytes) AS saved
+  FROM counted u JOIN starts s ON s.conv_id = u.conv_id AND s.d <= u.d GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM counted n JOIN below USING (d, node) LEFT JOIN nodes p ON n.d > 0 AND p.d = n.d - 1 AND p.node = n.above
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1, "op7_embedding_near_duplicates": OP7}
+    return {"op1_benchmark_decontamination": OP1, "op7_embedding_near_duplicates": OP7, "op11_hard_negatives": OP11, "op12_conversation_trie": OP12}

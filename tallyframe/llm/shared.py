@@ -8,7 +8,9 @@ import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,10 +37,30 @@ def stored(frame: DataFrame, partitions: int | None = None) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def worker_cache(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, across its tasks."""
+#: Texts that a Python step holds at a time.
+SLICE_BYTES = 2 << 20
+
+
+def worker_cache(owner: str) -> dict:
+    """A dictionary that lives as long as the Python worker, or until another owner asks for one."""
     holder = sys.modules.setdefault("tallyframe_worker", types.ModuleType("tallyframe_worker"))
-    return holder.__dict__.setdefault(name, {})
+    for other in set(holder.__dict__.get("owners", ())) - {owner}:
+        del holder.owners[other]
+    return holder.__dict__.setdefault("owners", {}).setdefault(owner, {})
+
+
+def slices(batch: pa.RecordBatch, texts: Callable[[pa.RecordBatch], Iterable[pa.Array]]) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts take a few megabytes; one row at least."""
+    sizes = np.full(batch.num_rows, 64, np.int64)
+    for column in texts(batch):
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at, ends = 0, np.cumsum(sizes)
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def annotated(
@@ -51,26 +73,32 @@ def annotated(
     """One output row per row: the kept columns as the struct ``row``, then ``fields``.
 
     ``step`` gets an iterator of tuples of Arrow arrays, one array per input,
-    and yields the arrays of ``fields``. Since the kept columns travel inside
-    ``row``, their names never clash with the new ones.
+    and yields the arrays of ``fields``; it sees a few megabytes at a time. Since the
+    kept columns travel inside ``row``, their names never clash with the new ones, and
+    an input that is kept travels there alone.
     """
     keep = docs.columns if keep is None else list(keep)
-    own = [f"__in{i}" for i in range(len(inputs))]
+    apart = [name for name in inputs if name not in keep]
     picked = docs.select(
         F.struct(*[docs[name] for name in keep]).alias(ROW),
-        *[docs[name].alias(alias) for name, alias in zip(inputs, own)],
+        *[docs[name].alias(f"__in{i}") for i, name in enumerate(apart)],
     )
+    places = [(True, keep.index(name)) if name in keep else (False, 1 + apart.index(name)) for name in inputs]
     schema = T.StructType([picked.schema[ROW], *fields])
     names = [f.name for f in schema]
     kinds = [_arrow_kind(f.dataType) for f in fields]
 
+    def given(batch: pa.RecordBatch) -> tuple[pa.Array, ...]:
+        return tuple(batch.column(0).field(at) if kept else batch.column(at) for kept, at in places)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[pa.Array] = []
 
         def parts():
             for batch in batches:
-                rows.append(batch.column(0))
-                yield tuple(batch.column(i + 1) for i in range(len(own)))
+                for some in slices(batch, given):
+                    rows.append(some.column(0))
+                    yield given(some)
 
         for arrays in step(parts()):
             made = [a if isinstance(a, pa.Array) else pa.array(a, k) for a, k in zip(arrays, kinds)]

@@ -146,10 +146,10 @@ def count_tokens(
     """Per row: ``row`` (the kept columns), n_bytes, n_tokens and over_limit."""
 
     def step(parts):
-        cached = worker_cache("counters")
+        cached = worker_cache("token counts")
         if model_path not in cached:
-            cached[model_path] = MergeCounter(model_path)
-        counter, seen = cached[model_path], worker_cache(f"counts of {model_path}")
+            cached[model_path] = MergeCounter(model_path), {}
+        counter, seen = cached[model_path]
         for (texts,) in parts:
             rows = [t or b"" for t in utf8(texts)]
             counts = {t: counter.count(t.decode(), seen) for t in set(rows)}

@@ -187,7 +187,7 @@ def test_rows_of_one_id_are_judged_by_their_texts(spark):
 def test_registered_queries(spark):
     names = list(queries.queries())
     assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
-    assert len(names) == 11 and set(queries.oracle_sql()) <= set(names)
+    assert len(names) == 14 and set(queries.oracle_sql()) <= set(names)
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -195,7 +195,7 @@ def test_against_sql(spark, name):
     import duckdb
 
     connection = duckdb.connect()
-    for table in ("documents", "benchmark", "embeddings"):
+    for table in ("documents", "benchmark", "embeddings", "conversations"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     want = connection.execute(queries.oracle_sql()[name])
     columns = [d[0] for d in want.description]
