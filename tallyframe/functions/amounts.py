@@ -1,18 +1,20 @@
 """Exact sums, and amounts as text.
 
 Adding doubles gives another last digit for every task layout. All totals here
-add whole units (cents, minutes, millionths) in a long, which stays inside
-generated code and gives the same result on any cluster.
+add whole units (cents, or wholes and millionths) in longs, which stays inside
+generated code and gives the same result on any cluster. A value that no long
+holds fails the query (Spark's ANSI mode, its default) and never drops out.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.functions.dates import col
-from tallyframe.schemas import COST
 
 CENTS = 2
 PRODUCT_SCALE = 4  # hours x rate, fractions of a full-time post
@@ -36,16 +38,28 @@ def exact_sum(value: Column | str, scale: int = CENTS) -> Column:
     return F.coalesce(F.sum(whole_units(value, scale)), F.lit(0)) / F.lit(10**scale)
 
 
+def sum_in_parts(value: Column) -> Column:
+    """Sum of doubles at six decimals, as a decimal; null where every value is null.
+
+    Wholes and millionths are added as two longs, so amounts of any size a long
+    holds count in full, and put together once per group.
+    """
+    whole = F.rint(value)
+    wholes = F.sum(whole.cast("bigint")).cast("decimal(19,0)")
+    millionths = F.sum(F.rint((value - whole) * 1_000_000).cast("bigint")).cast("decimal(19,0)")
+    return wholes + millionths * F.lit(Decimal("0.000001"))
+
+
 def amount_sum(df: DataFrame, name: str) -> Column:
     """Sum of a stored amount as a double, exact at the column's own scale.
 
-    Other numbers count at the six decimals of a cost. Amounts finer than a cent
-    use Spark's decimal sum, since their units could outgrow a long; decimals of
-    two places add cents.
+    Doubles count at the six decimals of a cost. Decimals finer than a cent use
+    Spark's decimal sum, since their units could outgrow a long; decimals of two
+    places add cents.
     """
     kind = df.schema[name].dataType
     if not isinstance(kind, T.DecimalType):
-        return F.coalesce(F.sum(not_nan(name).try_cast(COST)), F.lit(0)).cast("double")
+        return F.coalesce(sum_in_parts(not_nan(name)), F.lit(0)).cast("double")
     if kind.scale > CENTS:
         return F.coalesce(F.sum(name), F.lit(0)).cast("double")
     cents = F.sum((F.col(name) * 10**CENTS).cast("bigint"))

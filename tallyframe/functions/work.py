@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyframe.functions.amounts import not_nan
-from tallyframe.schemas import HOURS
+from tallyframe.functions.amounts import not_nan, sum_in_parts
 
 
 def worked_minutes() -> Column:
     """Minutes of one log line, fractions kept; null when either part is null."""
-    return (F.col("hours") * 60 + F.col("minutes")).try_cast(HOURS)
+    return not_nan(F.col("hours").cast("double") * 60 + F.col("minutes").cast("double"))
 
 
 def worked_hours() -> Column:
-    return worked_minutes().cast("double") / F.lit(60)
+    return worked_minutes() / F.lit(60)
+
+
+def minutes_total() -> Column:
+    """Minutes of a group at six decimals, 0 where there are none."""
+    return F.coalesce(sum_in_parts(worked_minutes()), F.lit(0))
 
 
 def hours_total() -> Column:
-    """Hours of a group, added as decimal minutes."""
-    return F.coalesce(F.sum(worked_minutes()), F.lit(0)).cast("double") / F.lit(60)
+    return minutes_total().cast("double") / F.lit(60)
 
 
 def billable() -> Column:

@@ -110,23 +110,66 @@ def fill_months(df: DataFrame, month: str, amount: str) -> DataFrame:
     return both.groupBy(month).agg(F.sum(amount).alias(amount))
 
 
+#: Values of a key in one row of the grid.
+BLOCK_VALUES = 1_024
+
+
 def dense_cells(df: DataFrame, dims: Sequence[str], day: str, amount: str) -> DataFrame:
     """Every combination of the values seen, missing cells as amount 0.
 
-    `df` holds one row per cell that occurs. The values seen are gathered in
-    one row, which is expanded by one explode per key, first by day so that
-    the days spread over the tasks; the zero rows are then summed with the
-    real ones. The result is the product of the key counts by definition, so
-    bound the date span first.
+    `df` holds one row per cell that occurs. The distinct values of each key are dealt
+    into blocks of about `BLOCK_VALUES` by their hash. From the days on, each row is
+    copied once per block of the next key, met with that block by an equi-join and
+    expanded by its values, so no row holds all values of a key and the copies are few.
+    The zero rows are then summed with the real ones. The result is the product of the
+    key counts by definition, so bound the date span first.
     """
-    seen = df.agg(*[F.collect_set(name).alias(name) for name in (day, *dims)], _zero(df, amount))
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grid = seen.withColumn(day, F.explode(day)).repartition(tasks, day)
+
+    def values(key: str) -> DataFrame:
+        return present(df, key).groupBy(key).agg(_zero(df, amount))
+
+    copies = max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
+    grid = values(day)
     for name in dims:
-        grid = grid.withColumn(name, F.explode(name))
-    keys = [*dims, day]
-    both = df.select(*keys, amount).unionByName(grid.select(*keys, amount))
-    return both.groupBy(*keys).agg(F.sum(amount).alias(amount))
+        # the zeros are carried along, so that all branches read the same columns of `df`
+        seen = values(name)
+        blocks = F.ceil(F.count(F.lit(1)) / BLOCK_VALUES) + F.coalesce(F.sum(amount), F.lit(0))
+        count = seen.agg(F.greatest(blocks, F.lit(1)).cast("bigint")).scalar()
+        held = seen.groupBy(F.pmod(F.xxhash64(name), count).alias("_block")).agg(
+            F.collect_list(name).alias("_values"), F.sum(amount).alias("_zero")
+        )
+        # both sides name the block and one of its copies, so that few blocks still go to many tasks
+        deal = F.pmod(F.xxhash64(*[c for c in grid.columns if c != amount]), F.lit(copies))
+        every = F.sequence(F.lit(0).cast("bigint"), count - 1)
+        rows = grid.withColumn("_block", F.explode(every))
+        # generated, so that Spark does not filter by it below the shared shuffle
+        rows = rows.withColumn("_at", F.explode(F.array(F.col("_block") * copies + deal))).drop("_block")
+        each = F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint"))
+        blocks = held.withColumn("_at", F.explode(F.transform(each, lambda c: F.col("_block") * copies + c)))
+        met = rows.join(blocks.drop("_block"), "_at")
+        grid = met.withColumns({name: F.explode("_values"), amount: F.col(amount) + F.col("_zero")})
+        grid = grid.drop("_at", "_values", "_zero")
+    zeros = grid.withColumn(amount, F.col(amount).cast(df.schema[amount].dataType))
+    both = df.select(*dims, day, amount).unionByName(zeros.select(*dims, day, amount))
+    return both.groupBy(*dims, day).agg(F.sum(amount).alias(amount))
+
+
+def rows_from_days_before(df: DataFrame, start: AsOf, days: int, day: str = "usage_date") -> DataFrame:
+    """Rows since a start date, and those of the `days` distinct days before it.
+
+    The first of these days is found first, from the dates alone, and compared with
+    the stored date as a scalar, so the scan skips what lies before.
+    """
+    if days < 1:
+        return rows_since(df, start, day)
+    kind = _day_type(df, day)
+    first = F.to_date(as_date(start))
+    earlier = present(df, day).filter(F.col(day) < first.cast(kind)).select(F.to_date(day).alias("d")).distinct()
+    kept = earlier.orderBy(F.desc("d")).limit(days)
+    bound = kept.agg(F.coalesce(F.min("d"), first).alias("d"))
+    if PARTITION in df.columns:
+        df = df.filter(F.col(PARTITION) >= bound.select(month_key("d")).scalar())
+    return df.filter(F.col(day) >= bound.select(F.col("d").cast(kind)).scalar())
 
 
 def moving_mean(daily: DataFrame, day: str, amount: str, rows: int, name: str) -> DataFrame:

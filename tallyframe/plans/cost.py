@@ -27,6 +27,7 @@ from tallyframe.operators.calendar import (
     last_months,
     moving_mean,
     rows_of_month,
+    rows_from_days_before,
     rows_of_newest,
     rows_since,
 )
@@ -195,9 +196,11 @@ def dense_daily_largest_first(usage: DataFrame) -> DataFrame:
 def daily_moving_mean(usage: DataFrame, start: AsOf, rows: int = 7) -> DataFrame:
     """Daily totals with the mean of the last seven days seen.
 
-    The start date applies after the mean, so the first days shown have one.
+    The start date applies after the mean, so the first days shown have one; no
+    more days before it are read than they need.
     """
-    means = moving_mean(daily_total(usage), "day", "cost", rows, "mean_cost")
+    needed = rows_from_days_before(usage, start, rows - 1)
+    means = moving_mean(daily_total(needed), "day", "cost", rows, "mean_cost")
     return means.filter(F.col("day") >= as_date(start))
 
 

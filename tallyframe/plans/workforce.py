@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.amounts import number_text
+from tallyframe.functions.amounts import number_text, sum_in_parts
 from tallyframe.functions.dates import AsOf
 from tallyframe.functions.labels import override
-from tallyframe.functions.work import hours_total, worked_minutes
+from tallyframe.functions.work import hours_total, minutes_total, worked_minutes
 from tallyframe.operators.filters import (
     any_of,
     differs,
@@ -70,7 +70,7 @@ def person_hours(lines: DataFrame) -> DataFrame:
 
 
 def _person_minutes(lines: DataFrame, *keys: str) -> DataFrame:
-    total = F.coalesce(F.sum(worked_minutes()), F.lit(0)).alias("minutes")
+    total = minutes_total().alias("minutes")
     return aggregate_by(lines, [*keys, "employee_name"], total)
 
 
@@ -124,7 +124,7 @@ def heads_by_type(people: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def account_share(lines: DataFrame) -> DataFrame:
     """Each account's part of all hours."""
-    total = F.coalesce(F.sum(worked_minutes()), F.lit(0)).cast("double").alias("minutes")
+    total = minutes_total().cast("double").alias("minutes")
     totals = share_of_total(aggregate_by(lines, ["account"], total), "minutes")
     return totals.select("account", _hours(F.col("minutes")).alias("total_hrs"), "share")
 
@@ -174,7 +174,7 @@ def wide_hours(lines: DataFrame, accounts: Sequence[str]) -> DataFrame:
     """One row per employee, accounts as columns; no hours gives null."""
     named = present(lines, "employee_name", "account")
     pivoted = named.groupBy("employee_name").pivot("account", list(accounts))
-    return pivoted.agg(_hours(F.sum(worked_minutes())))
+    return pivoted.agg(_hours(sum_in_parts(worked_minutes())))
 
 
 def wide_hours_by_type(

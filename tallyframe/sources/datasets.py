@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ from tallyframe.functions.dates import to_timestamp
 from tallyframe.functions.labels import flag, two_way
 from tallyframe.schemas import DATASETS
 from tallyframe.sources.exports import read_after_preamble, read_by_header, union_exports
+from tallyframe.sources.tables import stored
 
 
 @dataclass(frozen=True)
@@ -128,6 +129,32 @@ EXPORTS = {
 }
 
 
+FILE = "_file"
+
+
+def _as_text(
+    spark: SparkSession,
+    export: Export,
+    path: str | list[str],
+    name_pattern: str | None,
+    multiline: bool,
+) -> DataFrame:
+    """The dataset's columns as text, and the file of each row; columns the files lack are null."""
+    if export.skip:
+        raw = read_after_preamble(
+            spark, path, export.skip, list(export.columns), export.sep, name_pattern, multiline, FILE
+        )
+    else:
+        raw = read_by_header(spark, path, export.sep, name_pattern, multiline, file=FILE)
+    # All at once: a new name may equal another column's old one.
+    held = set(raw.columns)
+    named = [
+        (F.col(f"`{old}`") if old in held else F.lit(None).cast("string")).alias(new)
+        for old, new in export.columns.items()
+    ]
+    return raw.select(FILE, *named)
+
+
 def read_export(
     spark: SparkSession,
     export: Export,
@@ -140,20 +167,49 @@ def read_export(
     Columns are found by header name; other columns of the file are ignored and
     dataset columns the files lack are null.
     """
-    if export.skip:
-        raw = read_after_preamble(
-            spark, path, export.skip, list(export.columns), export.sep, name_pattern
-        )
-    else:
-        raw = read_by_header(spark, path, export.sep, name_pattern, multiline)
-    # All at once: a new name may equal another column's old one.
-    held = set(raw.columns)
-    named = raw.select(
-        *[(F.col(f"`{old}`") if old in held else F.lit(None).cast("string")).alias(new) for old, new in export.columns.items()]
-    )
+    named = _as_text(spark, export, path, name_pattern, multiline)
     return named.select(*[_typed(named, export, column) for column in export.schema])
 
 
+@dataclass(frozen=True)
+class Checked:
+    """Rows in the dataset's schema; every unreadable value with its file, column and text; their counts."""
+
+    rows: DataFrame
+    quarantine: DataFrame
+    counts: dict[str, int]
+
+
+def read_checked(
+    spark: SparkSession,
+    export: Export,
+    path: str | list[str],
+    name_pattern: str | None = None,
+    multiline: bool = False,
+) -> Checked:
+    """`read_export`, with the values that are present and not readable set aside.
+
+    The records are parsed once and stored with their unreadable values; the counts
+    are observed while that table is written, and rows and quarantine are read from it.
+    """
+    named = _as_text(spark, export, path, name_pattern, multiline)
+    kinds = [c for c in export.schema if c.name in named.columns and not isinstance(c.dataType, T.BooleanType)]
+    bad = [
+        F.when(
+            (F.trim(c.name) != "") & _typed(named, export, c).isNull(),
+            F.struct(F.lit(c.name).alias("column"), F.col(c.name).alias("raw")),
+        )
+        for c in kinds
+    ]
+    values = [_typed(named, export, column) for column in export.schema]
+    marked = named.select(FILE, *values, F.filter(F.array(*bad), lambda b: b.isNotNull()).alias("_bad"))
+    seen = Observation()
+    holds = lambda name: F.exists("_bad", lambda b: b["column"] == name)
+    table = stored(marked.observe(seen, *[F.count_if(holds(c.name)).alias(c.name) for c in kinds]))
+    quarantine = table.select(F.col(FILE).alias("file"), F.inline("_bad"))
+    return Checked(table.select(export.schema.names), quarantine, seen.get)
+
+
 def rejected(
     spark: SparkSession,
     export: Export,
@@ -162,14 +218,8 @@ def rejected(
     multiline: bool = False,
 ) -> DataFrame:
     """One row: per column, how many values are present in the files but not readable as its type."""
-    if export.skip:
-        raw = read_after_preamble(spark, path, export.skip, list(export.columns), export.sep, name_pattern)
-    else:
-        raw = read_by_header(spark, path, export.sep, name_pattern, multiline)
-    held = set(raw.columns)
-    names = {new: old for old, new in export.columns.items() if old in held}
-    named = raw.select(*[F.col(f"`{old}`").alias(new) for new, old in names.items()])
-    kinds = [c for c in export.schema if c.name in names and not isinstance(c.dataType, T.BooleanType)]
+    named = _as_text(spark, export, path, name_pattern, multiline)
+    kinds = [c for c in export.schema if c.name in named.columns and not isinstance(c.dataType, T.BooleanType)]
     return named.agg(
         *[
             F.count_if((F.trim(c.name) != "") & _typed(named, export, c).isNull()).alias(c.name)
@@ -179,13 +229,17 @@ def rejected(
 
 
 def read_strictly(
-    spark: SparkSession, export: Export, path: str | list[str], name_pattern: str | None = None
+    spark: SparkSession,
+    export: Export,
+    path: str | list[str],
+    name_pattern: str | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
-    """`read_export`, but a value that is present and not readable fails the read."""
-    counts = rejected(spark, export, path, name_pattern).first().asDict()
-    if bad := {name: n for name, n in counts.items() if n}:
+    """`read_export`, but a value that is present and not readable fails the read; the files are parsed once."""
+    checked = read_checked(spark, export, path, name_pattern, multiline)
+    if bad := {name: n for name, n in checked.counts.items() if n}:
         raise ValueError(f"unreadable values by column: {bad}")
-    return read_export(spark, export, path, name_pattern)
+    return checked.rows
 
 
 def _typed(df: DataFrame, export: Export, column: T.StructField) -> Column:

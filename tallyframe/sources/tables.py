@@ -1,7 +1,9 @@
-"""Table scans."""
+"""Table scans, and tables of intermediate results."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -9,6 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder path on storage that every executor sees.
+
+    It lies under spark.checkpoint.dir; only a session without that setting
+    (a local test) falls back to a temporary folder of this machine.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and spark.sparkContext.master.startswith("local"):
+        shared = tempfile.mkdtemp(prefix="tallyframe-")
+    if shared is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{shared.rstrip('/')}/tallyframe-{uuid.uuid4().hex}"
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder; later steps read that instead of computing it anew."""
+    folder = work_folder(frame.sparkSession)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
+
 def scan(
     spark: SparkSession,
     source: str,

@@ -441,3 +441,32 @@ def test_months_count_over_all_usage_when_groups_are_chosen(spark):
     assert cost.top_categories(chosen, months=2).count() == 1
     assert cost.daily_by_subscription(chosen, 1, months_of=df).count() == 0
     assert cost.of_groups(df).count() == 3
+
+
+@pytest.mark.parametrize("start", ["2024-03-10", "2024-03-11", "2023-01-01", "2025-01-01"])
+def test_moving_mean_reads_only_the_days_it_needs(spark, start):
+    """Gaps in the days: the rows of the last six days seen before the start are enough."""
+    days = [dt.datetime(2024, 3, d, h) for d in (1, 2, 3, 5, 8, 9, 10, 12, 20, 21, 22, 30) for h in (0, 13)]
+    usage = cost.prepare(spark.createDataFrame([(d, float(i)) for i, d in enumerate(days)], "usage_date timestamp_ntz, cost double"))
+    got = [tuple(r) for r in cost.daily_moving_mean(usage, start).orderBy("day").collect()]
+    daily = {}
+    for i, d in enumerate(days):
+        daily[d.date()] = daily.get(d.date(), 0) + i
+    seen = sorted(daily)
+    means = [(d, daily[d], sum(daily[x] for x in seen[i - 6 : i + 1]) / 7 if i >= 6 else None) for i, d in enumerate(seen)]
+    assert got == [m for m in means if m[0] >= dt.date.fromisoformat(start)]
+
+
+def test_totals_of_large_and_odd_amounts(spark):
+    from tallyframe.functions.amounts import amount_sum
+
+    def total(*values):
+        df = spark.createDataFrame([(v,) for v in values], "cost double")
+        return df.agg(amount_sum(df, "cost")).first()[0]
+
+    assert total(5e12, 1.0, 3e16) == 30005000000000001.0 or total(5e12, 1.0, 3e16) == float(30005000000000001)
+    assert total(1e12, 0.25) == 1000000000000.25 and total(1e15, -1e15, 0.000001) == 0.000001
+    assert total(float("nan"), None, 2.5) == 2.5 and total(None) == 0.0 and total(-7.654321, -1e13) == -10000000000007.654321
+    assert total(*[0.1] * 1000) == 100.0
+    with pytest.raises(Exception, match="OVERFLOW"):
+        total(1e19)

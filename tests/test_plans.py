@@ -125,3 +125,53 @@ def test_joins_do_not_force_a_broadcast(spark):
             assert "Broadcast" not in final_plan(df)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("name", ["a37_dense_daily_cost", "w6_largest_category_first"])
+def test_no_row_of_the_grid_holds_a_whole_key(spark, name, monkeypatch):
+    """Values are gathered by block only, and a block is a bounded part of a key."""
+    from tallyframe.operators import calendar
+
+    plan = final_plan(QUERIES[name](spark, FOLDER))
+    assert "collect_set" not in plan
+    gathers = [line for line in plan.splitlines() if "collect_list" in line]
+    assert gathers and not any("keys=[]" in line for line in gathers)
+
+    monkeypatch.setattr(calendar, "BLOCK_VALUES", 3)
+    data = [(f"s{i % 7}", f"c{i % 11}", i % 13, 1.5) for i in range(0, 400, 3)] + [("s0", "c0", 0, float(10**13))]
+    df = spark.createDataFrame(data, "subscription string, category string, day int, cost double")
+    cells = df.groupBy("subscription", "category", "day").agg({"cost": "sum"}).withColumnRenamed("sum(cost)", "cost")
+    dense = calendar.dense_cells(cells, ["subscription", "category"], "day", "cost").collect()
+    expected = {(s, c, d): 0.0 for s in {r[0] for r in data} for c in {r[1] for r in data} for d in {r[2] for r in data}}
+    for s, c, d, value in data:
+        expected[s, c, d] += value
+    assert len(dense) == len(expected) and {tuple(r)[:3]: r["cost"] for r in dense} == expected
+
+
+def test_line_numbers_read_their_input_twice(spark):
+    """Once for the sketch, once for the shuffle that counts and listing share."""
+    plan = final_plan(QUERIES["w4_line_numbers"](spark, FOLDER))
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line and "c_custkey" in line]
+    assert len(scans) == 2 and "ReusedExchange" in plan
+
+
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    """A key with a third of all rows is spread over several ranges, and their number grows with the rows."""
+    from pyspark.sql import functions as F
+
+    from tallyframe.operators import ranking
+
+    monkeypatch.setattr(ranking, "SKETCH", 400)
+    spread = []
+    for rows in (2_000, 20_000):
+        df = spark.range(rows, numPartitions=8).selectExpr("IF(id % 3 = 0, 'hot', concat('k', id % 50)) AS k", "id")
+        numbered = ranking.line_numbers(df, ["k", "id"], ["k"], range_rows=500)
+        wrong = numbered.groupBy("k").agg(F.max("line_no").alias("m"), F.count("*").alias("n"), F.min("line_no").alias("l"))
+        assert wrong.where("m <> n or l <> 1").count() == 0
+        splits = ranking._splits(df, F.struct("k", "id"), F.xxhash64(F.struct("k", "id")), None, 500)
+        found = spark.range(1).select(splits.alias("s")).first()["s"]
+        assert [tuple(x) for x in found] == sorted(tuple(x) for x in found)
+        spread.append((len(found), sum(x["k"] == "hot" for x in found)))
+    (few, few_hot), (many, many_hot) = spread
+    assert few_hot >= 1 and many > 5 * few and many_hot > many / 5
+    assert rows / 500 * 0.7 < many < rows / 500 * 1.4
