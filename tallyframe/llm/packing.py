@@ -8,8 +8,8 @@ nowhere is cut over the roomiest sequences. As many sequences are opened as the
 tokens need, so less than one capacity is left empty in a group.
 
 Tokens are computed once, where the text lies, and only the rests are shuffled.
-Groups hold about ``GROUP_BYTES`` of text by a hash over id and tokens, so their
-number follows the input and their size does not.
+Groups hold about ``GROUP_BYTES`` of text by a hash over id, tokens and the row's place in
+its task, so their number follows the input and their size does not, also where rows repeat.
 
 A null or empty text is one end token. Rows are packed one by one: repeated rows
 are packed as often as they occur, ties go by id (null last) and checksum, and
@@ -18,6 +18,7 @@ an empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.shared import field, utf8, worker_cache
+from tallyframe.llm.shared import byte_letters, field, slices, worker_cache
 
 CAPACITY = 4096
 END = 2
@@ -37,10 +38,24 @@ LINEAR = 1.0
 #: Of the linear cost at a full sequence: attention as dear as the rest of a layer at 4096 tokens.
 QUADRATIC = 1.0 / CAPACITY
 GROUP_BYTES = 16 << 20
-#: Words whose identifiers one Python worker remembers.
-REMEMBERED = 600_000
+#: Odd words whose identifiers one Python worker remembers.
+REMEMBERED = 100_000
 LONGEST_REMEMBERED = 48
-BLOCK_BYTES = 4 << 20
+
+# How the tokenizer that the fast way knows cuts texts, its letters among those
+# up to U+00FF, and the pre-tokens of such texts.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SIMPLE = "[\t-\r -~À-ÖØ-öø-ÿ]*"
+SIMPLE_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+"
+END_MARK = "\0"
 
 PIECE = T.StructType([
     field("doc_id", "long"),
@@ -54,11 +69,44 @@ PIECE = T.StructType([
 ])
 
 
+def marked_ranks(path: str) -> tuple[dict[bytes, int], np.ndarray] | None:
+    """Pieces by rank, a word's end written as a zero byte, and the identifier of each rank.
+
+    The end is merged into a word's last byte before anything else, as the vocabulary
+    has it there from the start. None for tokenizers that cut texts in other ways.
+    """
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, pre = spec["model"], spec["pre_tokenizer"] or {}
+    steps = pre.get("pretokenizers", [])
+    split = {"type": "Split", "pattern": {"Regex": PRE_TOKENS}, "behavior": "Removed", "invert": True}
+    known = spec["normalizer"] == NORMALIZER and len(steps) == 2 and steps[0] == split and steps[1]["type"] == "ByteLevel"
+    known = known and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and model["type"] == "BPE"
+    if not known or model["end_of_word_suffix"] != "</w>" or any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix")):
+        return None
+    letters, vocabulary = byte_letters(), model["vocab"]
+
+    def raw(piece: str) -> bytes:
+        body = piece.removesuffix("</w>")
+        return bytes(letters[c] for c in body) + END_MARK.encode() * (body != piece)
+
+    singles = [c for c, b in letters.items() if b]
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    pieces = [(raw(c), c) for c in singles] + [(END_MARK.encode(), None)] + [(raw(c + "</w>"), c + "</w>") for c in singles]
+    pieces += [(raw(m), m) for m in merged]
+    ranks = {bytes_: rank for rank, (bytes_, _) in enumerate(pieces)}
+    if len(ranks) < len(pieces):
+        return None
+    return ranks, np.array([0 if piece is None else vocabulary[piece] for _, piece in pieces], "<u2")
+
+
 class WordEncoder:
     """Identifiers of whole texts, as little-endian 16-bit numbers.
 
-    White space always ends a word of this tokenizer, so words between ASCII
-    white space are encoded once by the library, in bulk, and remembered.
+    Texts of ASCII and the letters up to U+00FF are cut into pre-tokens, each gets a mark
+    at its end, and all are merged at once. White space always ends a word of this
+    tokenizer, so in other texts only the words with other characters, and those that may
+    hold a special token, go to the library.
     """
 
     def __init__(self, path: str):
@@ -69,72 +117,52 @@ class WordEncoder:
         self.tokenizer.no_padding()
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("identifiers need more than 16 bits")
-        #: Letters that the tokenizer's normaliser maps to one letter each.
-        self.plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(1 << 16, bool)
-        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AZ") == "az"
-
-    def encode(self, texts: list[bytes], seen: dict[bytes, bytes]) -> Iterator[bytes]:
-        at = 0
-        while at < len(texts):
-            # texts of some megabytes at a time, so that the library gets many words at once
-            block, size = [], 0
-            while at < len(texts) and (not block or size < BLOCK_BYTES):
-                text = texts[at]
-                # special tokens are case-sensitive, so such texts keep their case
-                block.append((text.lower() if self.lower and b"<|" not in text else text).split())
-                size += len(text)
-                at += 1
-            if len(seen) > REMEMBERED:
-                seen.clear()
-            long = self._learn({w for words in block for w in words}.difference(seen), seen)
-            for words in block:
-                yield b"".join([long.get(w) or seen[w] for w in words] if long else map(seen.__getitem__, words))
-
-    def _learn(self, new: set[bytes], seen: dict[bytes, bytes]) -> dict[bytes, bytes]:
-        """Encodes new words; returns those that are too long to remember."""
-        parts = {w: self._parts(w) for w in new}
-        todo = {p for pair in parts.values() for p in pair}.difference(seen)
-        plain = [p for p in todo if self.plain(p.decode())]
-        ids = dict(self._plain_ids(plain))
-        odd = list(todo.difference(ids))
-        for at in range(0, len(odd), 10_000):
-            made = self.tokenizer.encode_batch([w.decode() for w in odd[at : at + 10_000]], add_special_tokens=False)
-            ids.update(zip(odd[at:], (np.array(x.ids, "<u2").tobytes() for x in made)))
-        for part, found in ids.items():
-            if len(part) <= LONGEST_REMEMBERED:
-                seen[part] = found
-        long = {}
-        for word, pair in parts.items():
-            if len(pair) > 1 or word not in seen:
-                found = b"".join([ids[p] if p in ids else seen[p] for p in pair])
-                (seen if len(word) <= LONGEST_REMEMBERED else long)[word] = found
-        return long
-
-    def _plain_ids(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Words of letters alone, many in one text: each ends with its only token of a word's end."""
-        if not self.ends.any():
-            return
-        for at in range(0, len(words), 2_000):
-            some = words[at : at + 2_000]
-            text = b" ".join(some).decode()
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stops) != len(some) or stops[-1] != len(ids):
-                continue  # left to the library, word by word
-            raw, start = ids.tobytes(), 0
-            for word, stop in zip(some, stops):
-                yield word, raw[2 * start : 2 * stop]
-                start = stop
-
-    def _parts(self, word: bytes) -> tuple[bytes, ...]:
-        """Stops after an ASCII letter or digit are a token run of their own."""
-        core = word.rstrip(b".,;:!?")
-        if len(core) < len(word) and core[-1:].isalnum() and b"<|" not in word:
-            return core, word[len(core) :]
-        return (word,)
+        self.simple, self.pre_tokens = re.compile(SIMPLE).fullmatch, re.compile(SIMPLE_PRE_TOKENS).findall
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.seen: dict[str, bytes] = {}
+        self.own = None
+        known = marked_ranks(path)
+        if known and not any(" " in s for s in self.special):
+            import tiktoken
+
+            ranks, self.ids = known
+            pattern = f"[^{END_MARK}]+{END_MARK}"
+            self.own = tiktoken.Encoding("marked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if self.own is None:
+            return self._by_library([text])[0]
+        special = any(s in text for s in self.special)
+        if not special and self.simple(text):
+            return self._marked(text)
+        out, plain = [], []
+        words = text.split(" ")
+        odd = [not self.simple(w) or special and any(s in w for s in self.special) for w in words]
+        self._learn({w for w, o in zip(words, odd) if o}.difference(self.seen))
+        for word, o in zip(words, odd):
+            if not o:
+                plain.append(word)
+                continue
+            out += [self._marked(" ".join(plain)), self.seen[word] if word in self.seen else self._by_library([word])[0]]
+            plain.clear()
+        return b"".join([*out, self._marked(" ".join(plain))])
+
+    def _marked(self, text: str) -> bytes:
+        found = self.pre_tokens(text.lower())
+        if not found:
+            return b""
+        found.append("")
+        return self.ids[self.own.encode_to_numpy(END_MARK.join(found), disallowed_special=())].tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.seen) + len(words) > REMEMBERED:
+            self.seen.clear()
+        short = [w for w in words if len(w) <= LONGEST_REMEMBERED]
+        self.seen.update(zip(short, self._by_library(short)))
+
+    def _by_library(self, texts: list[str]) -> list[bytes]:
+        made = self.tokenizer.encode_batch(texts, add_special_tokens=False) if texts else []
+        return [np.array(x.ids, "<u2").tobytes() for x in made]
 
 
 def crc_of(ids: bytes) -> int:
@@ -143,6 +171,7 @@ def crc_of(ids: bytes) -> int:
 
 
 TOKENS = T.StructType([
+    field("nth", "long"),
     field("doc_id", "long"),
     field("doc_tokens", "long"),
     field("full_crcs", "long", many=True),
@@ -156,27 +185,28 @@ def tokenised(docs: DataFrame, path: str, capacity: int, end: int, with_ids: boo
     """Per row: its length, the checksums of its full pieces, and the tokens of the rest."""
     tail = np.array([end], "<u2").tobytes()
 
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
+
     def run(batches):
-        cached = worker_cache("encoders")
+        cached = worker_cache("packing")
         if path not in cached:
             cached[path] = WordEncoder(path)
-        encoder, seen = cached[path], worker_cache(f"words of {path}")
+        encode, nth = cached[path].encode, 0
         for batch in batches:
-            rows = []
-            for doc_id, ids in zip(
-                batch.column(0).to_pylist(), encoder.encode([t or b"" for t in utf8(batch.column(1))], seen)
-            ):
-                ids += tail
-                size = len(ids) // 2
-                cut = size // capacity * capacity * 2
-                full = [crc_of(ids[at : at + 2 * capacity]) for at in range(0, cut, 2 * capacity)]
-                rest = ids[cut:]
-                rows.append((doc_id, size, full, ids[:cut] if with_ids else None, rest, crc_of(rest)))
-            columns = [list(c) for c in zip(*rows)] or [[] for _ in TOKENS]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=TOKENS.names)
-
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, TOKENS)
+            for some in slices(batch, lambda b: [b.column(1)]):
+                rows = []
+                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1)):
+                    ids = encode(text.as_py() or "") + tail
+                    size = len(ids) // 2
+                    cut = size // capacity * capacity * 2
+                    full = [crc_of(ids[at : at + 2 * capacity]) for at in range(0, cut, 2 * capacity)]
+                    rest = ids[cut:]
+                    rows.append((nth, doc_id, size, full, ids[:cut] if with_ids else None, rest, crc_of(rest)))
+                    nth += 1
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=TOKENS.names)
+
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, TOKENS)
 
 
 def placed(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> Iterator[tuple[int, int, int, int, int]]:
@@ -211,10 +241,10 @@ def pack(
     with_ids: bool = True,
 ) -> DataFrame:
     """One row per piece; ``ids`` holds its identifiers, 16 bits each, or null without ``with_ids``."""
-    total = docs.agg(F.sum(F.octet_length(docs["text"]) + 8)).first()[0] or 0
+    total = docs.agg(F.sum(F.coalesce(F.octet_length(docs["text"]), F.lit(0)) + 8)).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
     grouped = tokenised(docs, tokenizer_path, capacity, end, with_ids).withColumn(
-        "pack", F.pmod(F.xxhash64("doc_id", "rest_crc", "doc_tokens"), F.lit(groups))
+        "pack", F.pmod(F.xxhash64("doc_id", "rest_crc", "doc_tokens", "nth"), F.lit(groups))
     )
 
     def pack_group(key, rows: pd.DataFrame) -> pd.DataFrame:

@@ -36,17 +36,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.shared import field, stored, worker_cache
+from tallyframe.llm.shared import byte_letters, field, slices, stored, worker_cache
 
 CAPACITY = 1024
 END = 2
 #: Steps of the fit; it ends earlier where a step changes less than TOLERANCE of the pieces.
 STEPS, TOLERANCE = 1_000, 1e-5
-# The pre-tokens of byte-level vocabularies but for runs of white space, the
-# white space of that pattern, and the bytes that such a vocabulary writes as themselves.
+# The pre-tokens of byte-level vocabularies but for runs of white space, and
+# the white space of that pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"""
 BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PLAIN_BYTES = (range(0x21, 0x7F), range(0xA1, 0xAD), range(0xAE, 0x100))
 
 PIECE = T.StructType([
     field("doc_id", "long"),
@@ -71,13 +70,6 @@ TOKENS = T.StructType([
 ])
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that a byte-level vocabulary writes for each byte."""
-    plain = [b for some in PLAIN_BYTES for b in some]
-    other = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(other)}
-
-
 def ranks_of(path: str) -> dict[bytes, int] | None:
     """Pieces of a byte-level vocabulary by rank; None where its identifiers do not follow the merges."""
     with open(path, encoding="utf-8") as file:
@@ -149,8 +141,8 @@ def tokenised(docs: DataFrame, path: str, capacity: int, end: int, with_ids: boo
         task, full = TaskContext.get().partitionId(), 0
         met = np.zeros(capacity, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some, rows = batch.slice(at, 512), []
+            for some in slices(batch, lambda b: [b.column(1)]):
+                rows = []
                 for doc_id, text in zip(some.column(0).to_pylist(), some.column(1)):
                     ids = encode(text.as_py() or "") + tail
                     size = len(ids) // 4

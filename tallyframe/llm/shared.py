@@ -21,12 +21,14 @@ ROW = "row"
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder below the shared folder of the cluster.
 
-    A machine-local folder is made only where ``spark.checkpoint.dir`` is unset,
-    as in tests on one machine.
+    A machine-local folder is made only in local mode where ``spark.checkpoint.dir`` is
+    unset, as in tests.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
+    if not shared and spark.sparkContext.master.startswith("local"):
         shared = tempfile.mkdtemp(prefix="tallyframe-")
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -123,6 +125,17 @@ def crc_remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+# The bytes that a byte-level vocabulary writes as themselves.
+PLAIN_BYTES = (range(0x21, 0x7F), range(0xA1, 0xAD), range(0xAE, 0x100))
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that a byte-level vocabulary writes for each byte."""
+    plain = [b for some in PLAIN_BYTES for b in some]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(other)}
+
+
 KINDS = {
     "int": T.IntegerType(),
     "long": T.LongType(),
