@@ -98,6 +98,31 @@ def _core(inside: bool) -> Check:
     )
 
 
+# From, to before, and the bucket width in seconds that the times of the given tables lead to
+# is not stated: both engines find it from the times seen.
+SPANS = {
+    "one_day": ("2001-07-10", "2001-07-11"),
+    "short": ("2001-07-01", "2001-08-01"),
+    "long": ("1992-01-01", "2010-01-01"),
+}
+
+
+def _auto_buckets(start: str, end: str) -> Check:
+    widths = "".join(f"WHEN span <= {w * 24} THEN {w} " for w in cost.WIDTHS[:-1])
+    return Check(
+        lambda s, d: cost.resource_group_auto_buckets(data.usage(s, d, groups=True), start, end),
+        over(
+            "usage",
+            f"""SELECT resource_group, strftime(make_timestamp((secs - secs % width + 345600) * 1000000), '%Y-%m-%d %H:%M:%S') AS bucket,
+              category, {COST} FROM chosen, ruled WHERE resource_group IS NOT NULL GROUP BY ALL""",
+            chosen=f"""SELECT *, epoch(usage_date)::BIGINT - 345600 AS secs FROM usage
+              WHERE usage_date >= TIMESTAMP '{start}' AND usage_date < TIMESTAMP '{end}'""",
+            spanned="SELECT max(secs) - min(secs) AS span FROM chosen",
+            ruled=f"SELECT CASE {widths}ELSE {cost.WIDTHS[-1]} END AS width FROM spanned",
+        ),
+    )
+
+
 CHECKS = {
     "a1_cost_per_day": _usage_by(
         "day",
@@ -158,6 +183,7 @@ CHECKS = {
         lambda s, d: cost.resource_group_buckets(data.usage(s, d, groups=True), MONTH, "week"),
         "report_month = '2001-07' AND resource_group IS NOT NULL",
     ),
+    **{f"a8_auto_buckets_{name}": _auto_buckets(*span) for name, span in SPANS.items()},
     "a9_category_and_resource_group": _usage_by(
         "category, resource_group",
         lambda s, d: cost.categories_by_resource_group(data.usage(s, d, groups=True), MONTH),

@@ -18,12 +18,14 @@ from tallyframe.checks.projections import STATUS_RULES
 from tallyframe.checks.views import over
 from tallyframe.functions import dates, labels
 from tallyframe.functions.amounts import exact_sum
+from tallyframe.plans import cost
 from tallyframe.sources import datasets, exports, publish, tables
 
 EXPORT_TIME = "yyyy-MM-dd HH:mm:ss"
 USAGE_SQL = """
     SELECT strftime(usage_date, '%Y-%m-%d %H:%M:%S') AS usage_date, category, subscription,
       resource_group, CAST(cost AS DOUBLE) AS cost FROM usage"""
+LINES_PER_FILE = 1_000_000
 PREAMBLE = ["Usage report", '"All rights, reserved"']
 EOD_SQL = """
     SELECT employee_name, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, account,
@@ -47,29 +49,31 @@ def usage(s: SparkSession, d: str) -> DataFrame:
 
 
 def _monthly_files(s: SparkSession, d: str) -> DataFrame:
-    """Monthly folders by name pattern; the label rule depends on the years."""
+    """Exports in monthly folders by name pattern; the label rule depends on the years."""
     folder = publish.work_folder(s)
-    lines = data.table(s, d, "orders").withColumn("report_month", dates.month_key("o_orderdate"))
-    publish.write_by(lines, folder, "report_month")
+    month = dates.month_key("o_orderdate").alias("report_month")
+    lines = data.table(s, d, "orders").select("o_orderkey", "o_orderstatus", month)
+    lines.hint("rebalance", "report_month").write.partitionBy("report_month").options(header=True).csv(folder)
 
     def years(pattern: str, source: str) -> DataFrame:
-        read = s.read.option("basePath", folder).parquet(f"{folder}/report_month={pattern}")
+        read = exports.read_by_header(s, f"{folder}/report_month={pattern}", name_pattern="*.csv", file="file")
         return read.withColumn("source", F.lit(source))
 
     both = exports.union_exports(years("2*", "new"), years("1*", "old"))
     label = labels.two_way_by_source("o_orderstatus", "source", STATUS_RULES)
     return both.select(
-        "o_orderkey",
-        F.col("report_month").cast("string").alias("report_month"),
+        F.col("o_orderkey").cast("bigint").alias("o_orderkey"),
+        F.regexp_extract("file", "report_month=([^/]+)", 1).alias("report_month"),
         label.alias("subscription"),
     )
 
 
 def _csv_round_trip(s: SparkSession, d: str) -> DataFrame:
     folder = publish.work_folder(s)
+    export = datasets.EXPORTS["sponsor"]
     lines = typed(data.sponsor(s, d, names=True, regions=True), schemas.SPONSOR)
-    publish.write_delimited(lines, folder)
-    read = exports.read_csv(s, folder, schemas.SPONSOR, name_pattern="*.csv")
+    publish.write_delimited(_export_names(lines, export), folder)
+    read = datasets.read_strictly(s, export, folder, name_pattern="*.csv")
     totals = read.groupBy("service_name", "service_type", "service_region")
     return totals.agg(
         exact_sum("cost").alias("cost"),
@@ -90,10 +94,11 @@ def _write_with_preamble(lines: DataFrame, folder: str, by: Column, preamble: li
     Several files per value, each with its own first lines, so that a hot value
     is not written by one task.
     """
-    files = 4
+    files = max(4, -(-lines.count() // LINES_PER_FILE))
     quoted = [f"`{name}`" for name in lines.columns]
     spread = F.pmod(F.xxhash64(*quoted), F.lit(files))
-    options = {"timestampNTZFormat": EXPORT_TIME}
+    whole = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    options = {"timestampNTZFormat": EXPORT_TIME, **exports.DIALECT, **whole}
     body = lines.select(
         by.alias("part"),
         spread.alias("file_no"),
@@ -123,6 +128,16 @@ def _preamble_files(s: SparkSession, d: str) -> DataFrame:
     return datasets.read_export(s, export, f"{folder}/*/*", name_pattern="*.txt")
 
 
+def _broken_lines(s: SparkSession, d: str) -> DataFrame:
+    """Categories with a line break and quotes, after a preamble with an odd quote."""
+    folder = publish.work_folder(s)
+    export = datasets.EXPORTS["usage"]
+    odd = F.concat("category", F.lit('\n"'), F.col("subscription"), F.lit('", more\n'))
+    lines = _export_names(usage(s, d).withColumn("category", odd), export)
+    _write_with_preamble(lines, folder, F.year("UsageDate"), ['Usage of 5" disks', "for a year"])
+    return datasets.read_export(s, export, f"{folder}/*/*", name_pattern="*.txt", multiline=True)
+
+
 def _dates_at_ingest(s: SparkSession, d: str) -> DataFrame:
     folder = publish.work_folder(s)
     days = data.holiday(s, d)
@@ -210,6 +225,15 @@ def _ingest(s: SparkSession, d: str) -> DataFrame:
     return exports.union_exports(*results)
 
 
+def _daily_totals(s: SparkSession, d: str) -> DataFrame:
+    """Usage published by month with its daily totals; the months since 1998 are then published anew."""
+    target = f"{publish.work_folder(s)}/usage"
+    views = (lambda s: usage(s, d), lambda s: usage(s, d).where("usage_date >= TIMESTAMP_NTZ'1998-01-01 00:00:00'"))
+    for view, some in zip(views, (False, True)):
+        publish.publish(s, publish.Publication("usage", view, target, "usage_date", some, cost.daily_rollup))
+    return cost.prepare(tables.scan(s, target, kind=tables.DAILY))
+
+
 # Per dataset: a number to total, a column to count, and a date, as SQL of both engines.
 SUMMARY = {
     "usage": ("cost", "resource_group", "usage_date"),
@@ -266,6 +290,13 @@ CHECKS = {
         ),
     ),
     "s5_files_after_preamble": Check(_preamble_files, over("usage", USAGE_SQL)),
+    "s5_line_breaks_in_quotes": Check(
+        _broken_lines,
+        over(
+            "usage",
+            USAGE_SQL.replace("category,", "category || chr(10) || '\"' || subscription || '\", more' || chr(10) AS category,"),
+        ),
+    ),
     "s6_dates_at_ingest": Check(
         _dates_at_ingest,
         over(
@@ -275,6 +306,19 @@ CHECKS = {
     ),
     "s7_comma_sink": _delimited_sink(","),
     "s7_pipe_sink": _delimited_sink("|"),
+    "s8_cost_per_month_from_daily_totals": Check(
+        lambda s, d: cost.monthly_total(_daily_totals(s, d)),
+        over("usage", "SELECT report_month, CAST(coalesce(sum(cost), 0) AS DOUBLE) AS cost FROM usage GROUP BY ALL"),
+    ),
+    "s8_mean_cost_from_daily_totals": Check(
+        lambda s, d: cost.mean_per_day(_daily_totals(s, d)),
+        over(
+            "usage",
+            """SELECT report_month, subscription, CAST(sum(cost) AS DOUBLE) / count(DISTINCT day) AS mean_cost FROM usage
+            WHERE report_month >= (SELECT min(m) FROM (SELECT DISTINCT report_month AS m FROM usage ORDER BY m DESC LIMIT 4))
+            GROUP BY ALL""",
+        ),
+    ),
     "s8_ingest_and_publish": Check(_ingest, SUMMARY_SQL),
     "s8_publish_twice": Check(_publish_twice, SUMMARY_SQL),
 }

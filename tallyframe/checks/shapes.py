@@ -54,6 +54,24 @@ def _type_columns(totals, month: str, amount: str, sql_month: str, sql_year: str
     )
 
 
+FACETS = {
+    "company": ["NATION_10", "NATION_5", "NATION_12", "NATION_3"],
+    "grp2": ["AFRICA", "ASIA"],
+    "account": [],
+    "rank": ["BUILDING", "MACHINERY", "HOUSEHOLD"],
+}
+
+
+def _facet_sql(facet: str) -> str:
+    """One list: the facet's values among the rows that the other facets let through."""
+    held = [f""""{n}" IN ({", ".join(f"'{v}'" for v in some)})""" for n, some in FACETS.items() if n != facet and some]
+    return f"""SELECT '{facet}' AS facet, "{facet}" AS value, count(*) AS row_count FROM employee
+        WHERE {" AND ".join([*held, f'"{facet}" IS NOT NULL'])} GROUP BY ALL"""
+
+
+FACETS_SQL = " UNION ALL ".join(_facet_sql(f) for f in FACETS)
+
+
 CHECKS = {
     "r1_invoiced_type_columns": _type_columns(
         revenue.invoiced, "inv_mon", "inv_amount", "inv_mon", "inv_yr"
@@ -289,6 +307,10 @@ CHECKS = {
         lambda s, d: filters.choices(data.employee(s, d), "company", missing="nan"),
         over("employee", "SELECT DISTINCT coalesce(company, 'nan') AS company FROM employee"),
     ),
+    "o3_all_choices_in_one_pass": Check(
+        lambda s, d: filters.facet_choices(data.employee(s, d), FACETS),
+        over("employee", FACETS_SQL),
+    ),
     "u1_union_by_name": Check(
         lambda s, d: union_exports(
             data.usage(s, d).select("category", "cost"),

@@ -5,7 +5,7 @@ Conditions are plain comparisons on stored columns, so they reach the scan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,6 +104,36 @@ def choices(df: DataFrame, name: str, missing: str | None = None) -> DataFrame:
     return values.select(name).distinct().orderBy(name)
 
 
+def facet_choices(df: DataFrame, chosen: Mapping[str, Sequence]) -> DataFrame:
+    """(facet, value, row_count): every facet's values under the choices of all other facets.
+
+    An empty choice means all. All lists come from one reading: grouping sets give one
+    group per facet and value, and each counts the rows that the other facets let through.
+    """
+    names = list(chosen)
+    kept = df.select(*names, *[chosen_or_all(n, chosen[n]).alias(f"_{n}") for n in names])
+
+    def others(name: str) -> Column:
+        passes = F.lit(True)
+        for other in names:
+            if other != name:
+                passes = passes & F.coalesce(F.col(f"_{other}"), F.lit(False))
+        return F.count_if(passes)
+
+    counted = kept.groupingSets([[F.col(n)] for n in names], *[F.col(n) for n in names]).agg(
+        *[F.grouping(n).alias(f"_in_{n}") for n in names], *[others(n).alias(f"_rows_{n}") for n in names]
+    )
+    picked = [
+        F.when(
+            F.col(f"_in_{n}") == 0,
+            F.struct(F.lit(n).alias("facet"), F.col(n).cast("string").alias("value"), F.col(f"_rows_{n}").alias("row_count")),
+        )
+        for n in names
+    ]
+    lists = counted.select(F.coalesce(*picked).alias("c")).select("c.*")
+    return lists.filter(F.col("value").isNotNull() & (F.col("row_count") > 0))
+
+
 def column_range(df: DataFrame, first: str, last: str) -> DataFrame:
     """The columns from `first` to `last`, both kept."""
     names = df.columns

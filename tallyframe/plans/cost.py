@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyframe.functions.amounts import amount_sum, currency_text, fine_sum, number_text
+from tallyframe.functions.amounts import amount_sum, currency_text, fine_sum, not_nan, number_text, sum_in_parts
 from tallyframe.functions.dates import (
     AsOf,
     as_date,
@@ -22,6 +23,7 @@ from tallyframe.functions.dates import (
     month_start,
 )
 from tallyframe.operators.calendar import (
+    PARTITION,
     dense_cells,
     fill_months,
     last_months,
@@ -54,6 +56,19 @@ def _keyed(totals: DataFrame) -> DataFrame:
     )
 
 
+def daily_rollup(usage: DataFrame) -> DataFrame:
+    """Usage lines added per day, subscription, category and resource group.
+
+    The result has the form of usage, dated at midnight, and every report by day or
+    longer gives the same on it as on the lines; only hours within a day are lost. Null
+    keys stay groups of their own, and days whose costs are all null stay days.
+    """
+    day = F.to_date("usage_date").cast("timestamp_ntz").alias("usage_date")
+    months = [F.col(PARTITION)] if PARTITION in usage.columns else []
+    total = F.sum("cost") if isinstance(usage.schema["cost"].dataType, T.DecimalType) else sum_in_parts(not_nan("cost"))
+    return usage.groupBy(day, "category", "subscription", "resource_group", *months).agg(total.alias("cost"))
+
+
 def daily_total(usage: DataFrame, start: AsOf | None = None) -> DataFrame:
     if start is not None:
         usage = rows_since(usage, start)
@@ -115,6 +130,43 @@ def resource_group_buckets(
     return total_by(bucketed, ["resource_group", "bucket", "category"], "cost")
 
 
+#: Widths of time buckets in seconds, from a minute to ten years.
+WIDTHS = (
+    60, 300, 900, 1_800, 3_600, 10_800, 21_600, 43_200, 86_400, 172_800, 604_800, 1_209_600, 2_419_200, 7_862_400,
+    15_724_800, 31_449_600, 157_248_000, 314_496_000,
+)
+#: Buckets start at multiples of their width after this Monday.
+FIRST_MONDAY = "1970-01-05"
+
+
+def _seconds(time: Column) -> Column:
+    """Seconds since the first Monday of a time without a zone."""
+    days = F.date_diff(time, F.lit(FIRST_MONDAY).cast("date")).cast("bigint")
+    return days * 86_400 + F.hour(time) * 3_600 + F.minute(time) * 60 + F.floor(F.second(time))
+
+
+def resource_group_auto_buckets(usage: DataFrame, start: AsOf, end: AsOf, target: int = 24) -> DataFrame:
+    """Cost per resource group, time bucket and category from the start to before the end.
+
+    The bucket is the smallest of `WIDTHS` that covers the times seen with at most
+    `target` buckets, or the largest one. The times seen are a scalar subquery, so the
+    width is settled as the query runs.
+    """
+    first, after = as_date(start).cast("timestamp_ntz"), as_date(end).cast("timestamp_ntz")
+    chosen = usage.filter((F.col("usage_date") >= first) & (F.col("usage_date") < after))
+    seen = F.col("usage_date")
+    span = chosen.agg((_seconds(F.max(seen)) - _seconds(F.min(seen))).alias("span"))
+    rule = F.lit(WIDTHS[-1])
+    for width in reversed(WIDTHS[:-1]):
+        rule = F.when(F.col("span") <= width * target, width).otherwise(rule)
+    width = span.select(rule.cast("bigint")).scalar()
+    at = _seconds(seen)
+    since = at - F.pmod(at, width)
+    day = F.date_add(F.lit(FIRST_MONDAY).cast("date"), F.floor(since / 86_400).cast("int")).cast("timestamp_ntz")
+    bucket = day + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.pmod(since, F.lit(86_400)).cast("decimal(18,6)"))
+    return total_by(chosen.withColumn("bucket", bucket), ["resource_group", "bucket", "category"], "cost")
+
+
 def categories_by_resource_group(usage: DataFrame, month: AsOf) -> DataFrame:
     return total_by(rows_of_month(usage, month), ["category", "resource_group"], "cost")
 

@@ -289,3 +289,174 @@ def test_double_and_decimal_costs_agree(spark):
 
     df = spark.range(1000).selectExpr("0.004D AS real", "CAST(0.004 AS DECIMAL(18, 6)) AS exact")
     assert df.agg(amount_sum(df, "real").alias("a"), amount_sum(df, "exact").alias("b")).first() == (4.0, 4.0)
+
+
+def blocks_of(spark, size):
+    """Read files in blocks of about this size."""
+
+    class Blocks:
+        def __enter__(self):
+            self.old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+        def __exit__(self, *_):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", self.old)
+
+    return Blocks()
+
+
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_line_breaks_in_quotes_across_blocks(spark, tmp_path, ending):
+    """Records with breaks, blank lines and doubled quotes; some are longer than a block."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        parts = rng.choices(["x", '"', "\n", "\n\n", ",", 'say "no"\n', "é"], k=rng.randint(0, 30))
+        rows.append((str(i), "".join(parts) if i % 97 else "long\n" * 600 + '"', rng.choice(["plain", '""', "a\nb"])))
+    quoted = lambda v: '"' + v.replace('"', '""') + '"' if rng.random() < 0.7 or set(v) & set('",\n') else v
+    text = ending.join(['It is 5" wide', "free text", 'Id,"Two' + ending + 'lines",Other', *[",".join(map(quoted, r)) for r in rows]])
+    (tmp_path / "a.csv").write_text(text + ending, newline="")
+    (tmp_path / "b.csv").write_text(ending.join(['It is 5" wide', "", 'Id,"Two' + ending + 'lines",Other', 'z,"1' + ending + '2",']), newline="")
+    (tmp_path / "empty.csv").write_text("")
+    for size in ("2k", "128m"):
+        with blocks_of(spark, size):
+            read = exports.read_after_preamble(spark, str(tmp_path), 2, multiline=True)
+            got = [tuple(r) for r in read.collect()]
+        assert [c.replace("\r", "") for c in read.columns] == ["Id", "Two\nlines", "Other"]
+        want = [(a, b or None, c) for a, b, c in rows] + [("z", "1\n2".replace("\n", ending), None)]
+        clean = lambda rows: sorted(((a, b if b else None, c if c else None) for a, b, c in rows), key=str)
+        assert clean(got) == clean(want)
+
+
+def test_number_of_jobs_does_not_follow_the_files(spark, tmp_path):
+    def jobs(folder, files):
+        folder.mkdir()
+        for i in range(files):
+            names = ("a", "b") if i % 2 else ("B ", "c")
+            (folder / f"{i}.csv").write_text(f"{names[0]},{names[1]}\n{i},x\n")
+        (folder / "empty.csv").write_text("")
+        (folder / "header.csv").write_text("a,d\n")
+        spark.sparkContext.setJobGroup(str(folder), "count jobs")
+        read = exports.read_by_header(spark, str(folder))
+        rows = {tuple(r) for r in read.collect()}
+        spark.sparkContext._jsc.clearJobGroup()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(folder))), read.columns, rows
+
+    few, columns, rows = jobs(tmp_path / "few", 3)
+    many, _, more = jobs(tmp_path / "many", 40)
+    assert many == few <= 12
+    assert [c.lower() for c in columns] == ["b", "c", "a", "d"]
+    assert rows == {("0", "x", None, None), ("x", None, "1", None), ("2", "x", None, None)} and len(more) == 40
+
+
+def test_files_without_a_header(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("")
+    assert exports.read_by_header(spark, str(tmp_path), file="_file").count() == 0
+    export = datasets.Export("eod", {"Name": "employee_name"})
+    assert datasets.read_export(spark, export, str(tmp_path)).schema == schemas.EOD
+    (tmp_path / "odd.csv").write_text("﻿Name,,Name\n1,2,3\n")
+    assert exports.read_by_header(spark, str(tmp_path)).columns == ["Name0", "_c1", "Name2"]
+
+
+def test_unreadable_values_are_quarantined_in_one_pass(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("Name,Hours,Date,Minutes\na,bad,2024-01-02,1\nb,1,,x y\n")
+    (tmp_path / "2.csv").write_text("Name,Hours\nc,2\nd,worse\n")
+    names = {"Name": "employee_name", "Hours": "hours", "Date": "date", "Minutes": "minutes"}
+    found = datasets.read_checked(spark, datasets.Export("eod", names), str(tmp_path))
+    assert found.counts == {"employee_name": 0, "date": 0, "hours": 2, "minutes": 1}
+    bad = [(r.file.rsplit("/", 1)[1], r.column, r.raw) for r in found.quarantine.collect()]
+    assert sorted(bad) == [("1.csv", "hours", "bad"), ("1.csv", "minutes", "x y"), ("2.csv", "hours", "worse")]
+    assert found.rows.schema == schemas.EOD and found.rows.where("hours is null").count() == 2
+    # the rows come from the table that the checking pass wrote
+    assert not any(f.endswith(".csv") for f in found.rows.inputFiles())
+    with pytest.raises(ValueError, match="hours"):
+        datasets.read_strictly(spark, datasets.Export("eod", names), str(tmp_path))
+
+
+def usage_rows(spark, *days):
+    rows = [(day, cost, "x") for day, cost in days]
+    named = {"usage_date": F.col("day"), "cost": F.col("cost")}
+    return spark.createDataFrame(rows, "day string, cost int, other string").select(
+        *[named.get(f.name, F.col("other")).cast(f.dataType).alias(f.name) for f in schemas.USAGE]
+    )
+
+
+@pytest.mark.parametrize("step", ["names_in", "_list", "file_system"])
+def test_a_kill_at_any_step_leaves_a_readable_target(spark, tmp_path, monkeypatch, step):
+    target = str(tmp_path / "usage")
+    job = publish.Publication("usage", lambda s: usage_rows(s, ("2024-01-05", 1)), target, "usage_date")
+    publish.publish(spark, job)
+    before = sorted(map(str, tables.scan(spark, target).collect()))
+    again = publish.Publication("usage", lambda s: usage_rows(s, ("2024-01-06", 9)), target, "usage_date", True)
+    kept = getattr(publish, step)
+    calls = []
+
+    def killed(*args):
+        calls.append(args)
+        if len(calls) >= (2 if step == "file_system" else 1):
+            raise KeyboardInterrupt
+        return kept(*args)
+
+    monkeypatch.setattr(publish, step, killed)
+    with pytest.raises(KeyboardInterrupt):
+        publish.publish(spark, again)
+    monkeypatch.undo()
+    assert sorted(map(str, tables.scan(spark, target).collect())) == before
+    publish.publish(spark, again)
+    assert [r.cost for r in tables.scan(spark, target).collect()] == [9]
+
+
+def test_old_versions_go_by_age_and_empty_months_stay_readable(spark, tmp_path):
+    target = str(tmp_path / "usage")
+    for cost_ in (1, 2, 3):
+        publish.publish(spark, publish.Publication("usage", lambda s: usage_rows(s, ("2024-01-05", cost_)), target, "usage_date"))
+    assert len(tables.names_in(spark, f"{target}/lines")) == 3
+    publish.publish(spark, publish.Publication("usage", lambda s: usage_rows(s, ("2024-01-05", 4)).where("false"), target, "usage_date", keep_days=-1))
+    assert tables.names_in(spark, f"{target}/current") == ["00000004"] and tables.scan(spark, target).count() == 0
+    assert tables.scan(spark, target).drop("report_month").schema == schemas.USAGE
+    with pytest.raises(schemas.SchemaMismatch):
+        publish.publish(spark, publish.Publication("usage", lambda s: usage_rows(s).drop("cost"), target, "usage_date", True))
+    assert tables.scan(spark, target).count() == 0
+
+
+def test_reports_from_daily_totals(spark, tmp_path):
+    """Equal to those from the lines, also after some months are replaced, and without opening the lines."""
+    source = standins.usage(spark, "/root/testdata/sf0.001", groups=True)
+    lines = source.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.USAGE])
+    odd = F.when(F.dayofmonth("usage_date") % 5 > 0, F.col("cost"))  # some days have null costs only
+    lines = lines.withColumn("cost", odd.cast(schemas.COST)).withColumn("category", F.when(F.col("cost") > 9000, F.col("category")))
+    target = str(tmp_path / "usage")
+    put = lambda view, some: publish.publish(spark, publish.Publication("usage", lambda s: view, target, "usage_date", some, cost.daily_rollup))
+    put(lines, False)
+    changed = lines.where(F.year("usage_date") == 1998).withColumn("cost", (F.col("cost") * 2).cast(schemas.COST))
+    put(changed, True)
+    published = cost.prepare(tables.scan(spark, target))
+    daily = cost.prepare(tables.scan(spark, target, kind=tables.DAILY))
+    assert published.count() == lines.count()
+    reports = [
+        cost.daily_total, cost.monthly_total, cost.category_total, cost.mean_per_day, cost.month_end_forecast, cost.dense_daily,
+        cost.daily_by_subscription, cost.top_categories, lambda u: cost.resource_groups(u, "1998-03"),
+        lambda u: cost.resource_group_buckets(u, "1998-03"), lambda u: cost.compare_categories(u, ["1-URGENT"]),
+        lambda u: cost.categories_by_resource_group(u, "1998-03"), lambda u: cost.month_end_totals(u, "usage_date"),
+    ]
+    for report in reports:
+        mine = report(daily)
+        assert sorted(map(str, mine.collect())) == sorted(map(str, report(published).collect()))
+    assert all("/daily/" in f for f in cost.monthly_total(daily).inputFiles())
+    with pytest.raises(ValueError, match="without daily"):
+        publish.publish(spark, publish.Publication("usage", lambda s: changed, target, "usage_date"))
+        tables.scan(spark, target, kind=tables.DAILY)
+
+
+def test_facets_count_under_the_choices_of_the_others(spark):
+    from tallyframe.operators import filters
+
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, "x"), ("b", 1, "x"), (None, 1, "y"), ("b", 2, "y")], "p string, q int, r string")
+    got = {tuple(r) for r in filters.facet_choices(df, {"p": ["a"], "q": [1], "r": []}).collect()}
+    assert got == {("p", "a", 1), ("p", "b", 1), ("q", "1", 1), ("q", "2", 1)}
+    got = {tuple(r) for r in filters.facet_choices(df, {"p": ["b"], "r": ["x", "y"]}).collect()}
+    assert got == {("p", "a", 1), ("p", "b", 2), ("r", "x", 1), ("r", "y", 1)}
+    plan = filters.facet_choices(df, {"p": [], "q": [], "r": []})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Expand" in plan
