@@ -188,6 +188,53 @@ FROM embeddings LEFT JOIN counts USING (vec_id) LEFT JOIN least_id USING (vec_id
 """
 
 
+#: All pairs that share a shingle, by their number of common ones, and the closure of the links.
+OP6 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a),
+least_id AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least_id USING (doc_id)
+"""
+
+#: Every 50-byte string with the smallest id that holds it, in hexadecimal digits.
+OP8 = """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+parts AS (
+  SELECT doc_id, n, k, substr(h, CAST(200 * k + 1 AS BIGINT), 300) AS part
+  FROM (SELECT doc_id, h, n, unnest(range(0, (n - 49 + 99) // 100)) AS k FROM bytes WHERE n >= 50)),
+strings AS (
+  SELECT doc_id, 100 * k + j AS i, substr(part, CAST(2 * j + 1 AS BIGINT), 100) AS s
+  FROM (SELECT doc_id, k, part, unnest(range(0, least(100, n - 49 - 100 * k))) AS j FROM parts)),
+firsts AS (SELECT s, min(doc_id) AS first_id FROM strings GROUP BY s),
+found AS (SELECT t.doc_id, t.i FROM strings t JOIN firsts f ON t.s = f.s AND t.doc_id > f.first_id),
+marked AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 50 THEN 0 ELSE 1 END AS opens FROM found WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked),
+spans AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, span),
+gaps AS (
+  SELECT s.doc_id, s.a, s.b, s.span, coalesce(lag(s.b) OVER (PARTITION BY s.doc_id ORDER BY s.a), 0) AS since FROM spans s),
+kept AS (
+  SELECT g.doc_id, sum(g.b - g.a) AS n_removed, count(*) AS n_spans, max(g.b) AS last,
+         string_agg(substr(b.h, CAST(2 * g.since + 1 AS BIGINT), CAST(2 * (g.a - g.since) AS BIGINT)), '' ORDER BY g.a) AS h
+  FROM gaps g JOIN bytes b USING (doc_id) GROUP BY g.doc_id)
+SELECT b.doc_id, CAST(b.n AS BIGINT) AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(k.n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k.h, '') || substr(b.h, CAST(2 * coalesce(k.last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM bytes b LEFT JOIN kept k USING (doc_id)
+"""
+
 #: The scores of all anchors with all rows.
 OP11 = """
 WITH used AS (
@@ -245,4 +292,11 @@ FROM counted n JOIN below USING (d, node) LEFT JOIN nodes p ON n.d > 0 AND p.d =
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1, "op7_embedding_near_duplicates": OP7, "op11_hard_negatives": OP11, "op12_conversation_trie": OP12}
+    return {
+        "op1_benchmark_decontamination": OP1,
+        "op6_near_duplicates": OP6,
+        "op7_embedding_near_duplicates": OP7,
+        "op8_repeated_strings": OP8,
+        "op11_hard_negatives": OP11,
+        "op12_conversation_trie": OP12,
+    }
