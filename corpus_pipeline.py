@@ -3,6 +3,10 @@
 Each stage gets what its predecessor kept, judges all of it, and is written as
 Parquet in the shared folder before the next one reads it. All stages but the last
 return the columns of documents.
+
+Every stage takes empty tables, giving empty ones, and texts of any length. Extra columns
+stay and never clash with what a stage computes. Repeated rows are judged like others;
+only the second stage drops any for being equal.
 """
 
 from __future__ import annotations
@@ -20,7 +24,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go."""
+    """Documents that the toxicity classifier rejects (a score of at least one half) go.
+
+    Null and empty texts are scored as texts without words, and rows without an id like
+    others; equal texts have equal scores.
+    """
     out = toxicity.rate(docs, _table(spark, sf_dir, "labels"), lambda i: crc_remainder(i, 5) != 0)
     return out.where("predicted = 0").select("row.*")
 
@@ -46,13 +54,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold too much of the benchmark go."""
+    """Documents of which a twentieth or more of the words lie in benchmark windows go.
+
+    Null and empty texts have no words and stay; an empty benchmark rejects nothing. Rows
+    without an id are judged like others.
+    """
     out = decontamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
     return out.where(~F.col("contaminated")).select("row.*")
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that reveal it are replaced by general names; n_chars follows the text."""
+    """Personal data and the terms that reveal it are replaced by general names; n_chars follows the text.
+
+    Null texts stay null and empty ones empty; all rows stay. Matches that overlap are replaced
+    as one, by the name of the first of them by place and kind.
+    """
     out = sanitise.sanitised(docs)
     if "n_chars" not in out.columns:
         return out
@@ -63,7 +79,11 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens."""
+    """Pieces of documents in sequences of 4096 tokens.
+
+    A null or empty text is its end token. Equal rows are packed as often as they occur; ties in
+    length go by id, null last, and by checksum.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
 
 
