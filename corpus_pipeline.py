@@ -14,6 +14,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.llm import decontamination, neardup, packing, sanitise, toxicity
 from tallyframe.llm.shared import crc_remainder, scratch_folder, stored
@@ -38,10 +39,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Each row is judged by its own text, also where rows share an id. Texts without words
     link with nothing; of those with the same id one stays. Rows without an id stay.
+
+    Rows go by their id where no two share one, and else by a number: a group's smallest
+    id is mostly its original, which its copies are nearer to than to one another.
     """
     rows = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     rows = stored(docs.select(F.monotonically_increasing_id().alias("at"), rows))
     named, unnamed = rows.where("row.doc_id is not null"), rows.where("row.doc_id is null")
+    repeated = named.groupBy("row.doc_id").count().where("count > 1")
+    if docs.schema["doc_id"].dataType == T.LongType() and not repeated.limit(1).count():
+        named = named.withColumn("at", F.col("row.doc_id"))
     groups = neardup.near_duplicates(named.select(F.col("at").alias("doc_id"), F.col("row.text").alias("text")))
     groups = groups.select(F.col("doc_id").alias("at"), "n_shingles", "component_id")
     # rows with equal hashes are equal, so it does not matter which of them stays
