@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe import schemas
@@ -25,7 +25,6 @@ EXPORT_TIME = "yyyy-MM-dd HH:mm:ss"
 USAGE_SQL = """
     SELECT strftime(usage_date, '%Y-%m-%d %H:%M:%S') AS usage_date, category, subscription,
       resource_group, CAST(cost AS DOUBLE) AS cost FROM usage"""
-LINES_PER_FILE = 1_000_000
 PREAMBLE = ["Usage report", '"All rights, reserved"']
 EOD_SQL = """
     SELECT employee_name, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, account,
@@ -88,43 +87,36 @@ def _export_names(df: DataFrame, export: datasets.Export) -> DataFrame:
     return df.select(*[F.col(mine).alias(theirs) for theirs, mine in export.columns.items()])
 
 
-def _write_with_preamble(lines: DataFrame, folder: str, by: Column, preamble: list[str]) -> None:
-    """Text files that start with preamble lines and a header, one set per `by`.
+def _write_with_preamble(lines: DataFrame, folder: str, preamble: list[str], by: Column | None = None) -> None:
+    """Text files that start with preamble lines and a header, one set per value of `by` if given.
 
-    Several files per value, each with its own first lines, so that a hot value
-    is not written by one task.
+    Every task's rows (of a value) are a file with its own first lines, so that neither a
+    whole table nor a hot value is written by one task. The lines are computed once.
     """
-    files = max(4, -(-lines.count() // LINES_PER_FILE))
     quoted = [f"`{name}`" for name in lines.columns]
-    spread = F.pmod(F.xxhash64(*quoted), F.lit(files))
     whole = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     options = {"timestampNTZFormat": EXPORT_TIME, **exports.DIALECT, **whole}
-    body = lines.select(
-        by.alias("part"),
-        spread.alias("file_no"),
-        F.lit(len(preamble) + 1).alias("line_no"),
-        F.to_csv(F.struct(*quoted), options).alias("value"),
-    )
-    heads = F.array(
-        *[
-            F.struct(F.lit(number).alias("line_no"), F.lit(text).alias("value"))
-            for number, text in enumerate([*preamble, ",".join(lines.columns)])
-        ]
-    )
-    starts = body.select("part", "file_no").distinct().select("part", "file_no", F.inline(heads))
-    ordered = (
-        body.unionByName(starts)
-        .repartition("part", "file_no")
-        .sortWithinPartitions("part", "file_no", "line_no")
-    )
-    ordered.drop("line_no").write.partitionBy("part", "file_no").text(folder)
+    body = F.to_csv(F.struct(*quoted), options).alias("value")
+    # the row that a file starts with carries its first lines
+    head = F.lit("\n".join([*preamble, ",".join(lines.columns), ""]))
+    value = F.when(F.col("first"), F.concat(head, "value")).otherwise(F.col("value")).alias("value")
+    if by is None:
+        # ids count each task's rows from 0 in their lower 33 bits, and a task writes one file
+        first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+        rows, parts = lines.select(body, first.alias("first")), []
+    else:
+        parts = ["part", "file_no"]
+        rows = lines.select(body, by.alias("part"), F.spark_partition_id().alias("file_no"))
+        order = Window.partitionBy(*parts).orderBy(F.lit(0))
+        rows = rows.withColumn("first", F.row_number().over(order) == 1)
+    rows.select(value, *parts).write.partitionBy(*parts).option("maxRecordsPerFile", 0).text(folder)
 
 
 def _preamble_files(s: SparkSession, d: str) -> DataFrame:
     folder = publish.work_folder(s)
     export = datasets.EXPORTS["usage"]
     lines = _export_names(usage(s, d), export)
-    _write_with_preamble(lines, folder, F.year("UsageDate"), PREAMBLE)
+    _write_with_preamble(lines, folder, PREAMBLE, F.year("UsageDate"))
     return datasets.read_export(s, export, f"{folder}/*/*", name_pattern="*.txt")
 
 
@@ -134,7 +126,7 @@ def _broken_lines(s: SparkSession, d: str) -> DataFrame:
     export = datasets.EXPORTS["usage"]
     odd = F.concat("category", F.lit('\n"'), F.col("subscription"), F.lit('", more\n'))
     lines = _export_names(usage(s, d).withColumn("category", odd), export)
-    _write_with_preamble(lines, folder, F.year("UsageDate"), ['Usage of 5" disks', "for a year"])
+    _write_with_preamble(lines, folder, ['Usage of 5" disks', "for a year"], F.year("UsageDate"))
     return datasets.read_export(s, export, f"{folder}/*/*", name_pattern="*.txt", multiline=True)
 
 
@@ -210,14 +202,12 @@ def _ingest(s: SparkSession, d: str) -> DataFrame:
                 theirs = next(t for t, mine in export.columns.items() if mine == column.name)
                 lines = lines.withColumn(theirs, F.when(F.col(theirs), export.flag_mark))
         if export.skip:
-            _write_with_preamble(lines, path, F.lit(1), PREAMBLE[: export.skip])
-            source = f"{path}/*/*"
+            _write_with_preamble(lines, path, PREAMBLE[: export.skip])
         else:
             publish.write_delimited(lines, path, export.sep)
-            source = path
         job = publish.Publication(
             name,
-            lambda s, export=export, source=source: datasets.read_export(s, export, source),
+            lambda s, export=export, path=path: datasets.read_export(s, export, path),
             f"{folder}/{name}",
         )
         published = tables.scan(s, publish.publish(s, job), schema=job.schema)

@@ -28,6 +28,10 @@ from tallyframe.operators.lookup import join_lookup
 from tallyframe.sources.tables import stored
 
 
+#: Up to so many files, one row of each is sent to every task; beyond it the lines are shuffled to them.
+FEW_FILES = 50_000
+#: So many lines after the preamble are looked at before all of them are, where a header comes later.
+NEAR_LINES = 32
 #: A quote within a quoted field is written twice.
 DIALECT = {"quote": '"', "escape": '"'}
 BYTE_ORDER_MARK = "\ufeff"
@@ -71,18 +75,20 @@ def records(
     reader = spark.read.option("pathGlobFilter", name_pattern) if name_pattern else spark.read
     # where breaks count, only line feeds end a line, and carriage returns stay
     reader = reader.option("lineSep", "\n") if multiline else reader
-    lines = reader.text(path).select(
+    texts = reader.text(path)
+    few = len(texts._jdf.inputFiles()) <= FEW_FILES
+    lines = texts.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"),
         "value",
     )
-    index = stored(_index(lines if multiline else lines.where("block = 0"), skip, multiline))
+    index = stored(_index(lines, skip, True)) if multiline else _first_headers(lines, skip, few)
     # as many rows as there are different headers
     heads = sorted(r["head"] for r in index.where("head is not null").select("head").distinct().collect())
     known = F.array_position(F.array(*[F.lit(h) for h in heads]), F.col("head")).cast("int") if heads else F.lit(None).cast("int")
     index = index.withColumn("header", known)
-    cut = _across_blocks(lines, index) if multiline else _by_line(lines, index)
+    cut = _across_blocks(lines, index) if multiline else _by_line(lines, index, few)
     rows = cut.where((F.trim("value") != "") & F.col("header").isNotNull())
     return Records(rows, [_names(h, sep) for h in heads])
 
@@ -153,19 +159,39 @@ def _index(lines: DataFrame, skip: int, multiline: bool) -> DataFrame:
     return lines.select("file", "block", "value").mapInArrow(run, INDEX)
 
 
-def _by_line(lines: DataFrame, index: DataFrame) -> DataFrame:
-    """Every line after the header is a record.
+def _first_headers(lines: DataFrame, skip: int, few: bool) -> DataFrame:
+    """The index of lines that each are a record; Python gets only the lines that a header is likely to be in."""
+    lines = lines.where("block = 0")
+    if few:
+        near = skip + NEAR_LINES
+        index = stored(_index(_numbered(lines, _first_ids(lines), few).where(F.col("number") < near), skip, False))
+        if index.where(F.col("head").isNull() & (F.col("head_lines") >= near)).isEmpty():
+            return index
+    return stored(_index(lines, skip, False))
+
+
+def _first_ids(lines: DataFrame) -> DataFrame:
+    return lines.where("block = 0").groupBy("file").agg(F.min("id").alias("first_id"))
+
+
+def _numbered(lines: DataFrame, known: DataFrame, few: bool) -> DataFrame:
+    """Lines with what is known of their file and, in its first block, their number from 0.
 
     Only a file's first block holds its first lines, and row ids rise along a task's
     input, so a line's number is its id less the lowest id of its file's first block.
-    That is one row per file, looked up so that a file with very many lines is spread
-    over tasks.
+    That is one row per file: sent to every task, so that the lines stay where they are
+    read and in their order, or, of very many files, looked up so that a file with very
+    many lines is spread over tasks.
     """
-    first = lines.filter(F.col("block") == 0).groupBy("file").agg(F.min("id").alias("first_id"))
-    known = first.join(index.select("file", "header", "head_lines"), "file")
-    placed = join_lookup(lines, known, "file", spread_by=["id"])
-    after = (F.col("block") > 0) | (F.col("id") - F.col("first_id") >= F.col("head_lines"))
-    return placed.filter(after).select("file", "header", "value")
+    placed = lines.join(F.broadcast(known), "file") if few else join_lookup(lines, known, "file", spread_by=["id"])
+    return placed.withColumn("number", F.when(F.col("block") == 0, F.col("id") - F.col("first_id")))
+
+
+def _by_line(lines: DataFrame, index: DataFrame, few: bool) -> DataFrame:
+    """Every line after the header is a record."""
+    known = _first_ids(lines).join(index.select("file", "header", "head_lines"), "file")
+    after = F.col("number").isNull() | (F.col("number") >= F.col("head_lines"))
+    return _numbered(lines, known, few).where(after).select("file", "header", "value")
 
 
 CUT = T.StructType(
