@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 AsOf = Column | dt.date | str
+# Texts that a format and a cast read alike, which they do except in the year 0.
+COMMON_FORMS = {
+    "yyyy-MM-dd": r"\A(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}\z",
+    "yyyy-MM-dd HH:mm:ss": r"\A(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\z",
+}
 
 
 def col(value: Column | str) -> Column:
@@ -59,12 +64,16 @@ def to_timestamp(text: Column | str, fmt: str | None = None) -> Column:
     """Text to timestamp without a zone; unreadable text becomes null.
 
     With a format the text is read as a one-field record, the only way to
-    parse by format without passing through the session time zone.
+    parse by format without passing through the session time zone. Text in the
+    common form of a format is cast, which gives the same several times faster.
     """
     if fmt is None:
         return col(text).try_cast("timestamp_ntz")
     options = {"timestampNTZFormat": fmt, "sep": "\u0001"}
-    return F.from_csv(col(text), "stamp timestamp_ntz", options)["stamp"]
+    stamp = F.from_csv(col(text), "stamp timestamp_ntz", options)["stamp"]
+    if fmt not in COMMON_FORMS:
+        return stamp
+    return F.when(col(text).rlike(COMMON_FORMS[fmt]), col(text).try_cast("timestamp_ntz")).otherwise(stamp)
 
 
 def days_left_in_month(day: Column | str) -> Column:

@@ -76,14 +76,17 @@ def records(
     # where breaks count, only line feeds end a line, and carriage returns stay
     reader = reader.option("lineSep", "\n") if multiline else reader
     texts = reader.text(path)
-    few = len(texts._jdf.inputFiles()) <= FEW_FILES
+    files = len(texts._jdf.inputFiles())
+    few = files <= FEW_FILES
+    # a task that reads more than one file has the first lines of the others somewhere among its lines
+    alone = few and not multiline and files <= texts.rdd.getNumPartitions()
     lines = texts.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"),
         "value",
     )
-    index = stored(_index(lines, skip, True)) if multiline else _first_headers(lines, skip, few)
+    index = stored(_index(lines, skip, True)) if multiline else _first_headers(lines, skip, few, alone)
     # as many rows as there are different headers
     heads = sorted(r["head"] for r in index.where("head is not null").select("head").distinct().collect())
     known = F.array_position(F.array(*[F.lit(h) for h in heads]), F.col("head")).cast("int") if heads else F.lit(None).cast("int")
@@ -159,17 +162,38 @@ def _index(lines: DataFrame, skip: int, multiline: bool) -> DataFrame:
     return lines.select("file", "block", "value").mapInArrow(run, INDEX)
 
 
-def _first_headers(lines: DataFrame, skip: int, few: bool) -> DataFrame:
-    """The index of lines that each are a record; Python gets only the lines that a header is likely to be in."""
+def _first_headers(lines: DataFrame, skip: int, few: bool, alone: bool) -> DataFrame:
+    """The index of lines that each are a record; Python gets only the lines that a header is likely to be in.
+
+    Where files have tasks of their own, each task's first lines are gathered in one scan;
+    those of a file are its first lines in any case, only too few of them where a task
+    reads several files, and then they are numbered, which takes two scans.
+    """
     lines = lines.where("block = 0")
+    near = skip + NEAR_LINES
+    if alone:
+        starts = stored(_task_starts(lines, near))
+        index = stored(_index(starts.select("file", F.lit(0).cast("long").alias("block"), F.explode("starts").alias("value")), skip, False))
+        found = index.select("file", "head", F.col("head_lines").alias("seen"))
+        open_ = starts.join(found, "file", "left").where(F.col("head").isNull() & (F.coalesce("seen", F.lit(0)) < F.col("n_lines")))
+        if open_.isEmpty():
+            return index
     if few:
-        near = skip + NEAR_LINES
         index = stored(_index(_numbered(lines, _first_ids(lines), few).where(F.col("number") < near), skip, False))
         if index.where(F.col("head").isNull() & (F.col("head_lines") >= near)).isEmpty():
             return index
     return stored(_index(lines, skip, False))
 
 
+def _task_starts(lines: DataFrame, near: int) -> DataFrame:
+    """Per file its number of lines, and those among the first lines of the task that reads it, in their order."""
+    # ids count each task's lines from 0 in their lower 33 bits
+    early = F.col("id").bitwiseAND((1 << 33) - 1) < near
+    gathered = F.sort_array(F.collect_list(F.when(early, F.struct("id", "value"))))
+    starts = F.transform(gathered, lambda line: line["value"]).alias("starts")
+    return lines.groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"), starts)
+
+
 def _first_ids(lines: DataFrame) -> DataFrame:
     return lines.where("block = 0").groupBy("file").agg(F.min("id").alias("first_id"))
 

@@ -460,3 +460,35 @@ def test_facets_count_under_the_choices_of_the_others(spark):
     assert got == {("p", "a", 1), ("p", "b", 2), ("r", "x", 1), ("r", "y", 1)}
     plan = filters.facet_choices(df, {"p": [], "q": [], "r": []})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan") == 1 and "Expand" in plan
+
+
+@pytest.mark.parametrize("together", [False, True])
+def test_headers_of_files_with_tasks_of_their_own_take_one_scan(spark, tmp_path, monkeypatch, together):
+    """Together, two files are read by one task, so that its first lines hold only one's header."""
+    lines = {"a": 9_000, "b": 60, "c": 50} if together else {"a": 60, "b": 50}
+    for name, n in lines.items():
+        (tmp_path / f"{name}.csv").write_text("\n".join(["Report", "k,n", *[f"{name},{i}" for i in range(n)]]) + "\n")
+    numbered, kept = [], exports._numbered
+    monkeypatch.setattr(exports, "_numbered", lambda *args: numbered.append(args) or kept(*args))
+    conf = {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.maxPartitionBytes": "2048"} if together else {}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        rows = exports.read_after_preamble(spark, str(tmp_path), 1).collect()
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+    assert sorted(map(tuple, rows)) == sorted((name, str(i)) for name, n in lines.items() for i in range(n))
+    # once for the records, and once more for the headers of files that share a task
+    assert len(numbered) == (2 if together else 1)
+
+
+def test_common_forms_of_dates_are_read_as_by_their_format(spark):
+    texts = ["2024-02-29", "2023-02-29", "0000-01-01", "0001-01-01", "9999-12-31", "2024-13-01", "2024-2-9", " 2024-02-29", "2024-02-29\n", '"2024-02-29"', "", None]
+    texts += [f"{t} {clock}" for t in texts[:5] for clock in ("00:00:00", "23:59:59", "24:00:00", "23:59:60", "1:00:00", "01:00:00.5")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for fmt, form in dates.COMMON_FORMS.items():
+        by_format = F.from_csv("t", "stamp timestamp_ntz", {"timestampNTZFormat": fmt, "sep": "\u0001"})["stamp"]
+        got = df.select("t", dates.to_timestamp("t", fmt).alias("mine"), by_format.alias("theirs"), F.col("t").rlike(form).alias("cast_"))
+        assert got.where("cast_ AND mine IS NOT NULL").count() >= 3
+        assert got.where("NOT (mine <=> theirs)").collect() == []
